@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling takes stay."""
+    from ingestloom.llm.importance import filter_documents
+
+    return filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
     from ingestloom.llm.simhash import drop_near_duplicates
@@ -28,7 +35,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("SimHash near-dedup", near_dedup), ("mixing sources to target weights", mix_sources), ("byte-level BPE encoding and decoding", encode)]
+STAGES = [("quality classifier", classify), ("SimHash near-dedup", near_dedup), ("mixing sources to target weights", mix_sources), ("byte-level BPE encoding and decoding", encode)]
 
 #: SQL can express neither the trained classifier nor the tokenizer.
 ORACLE_SQL: str | None = None

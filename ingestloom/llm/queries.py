@@ -9,12 +9,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ingestloom.llm.importance import select_documents
+
+    return select_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ingestloom.llm.simhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ingestloom.llm.lines_crf import apply_rules, train_on_labels
+
+    docs = _table(spark, sf_dir, "documents")
+    return apply_rules(docs, train_on_labels(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ingestloom.llm.secrets import scan_secrets
+
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ingestloom.llm.mixing import mix_documents
 
@@ -29,5 +48,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op7_mix_sources, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_simhash_near_dedup, op4_line_crf, op5_guess_cost_secrets, op7_mix_sources, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
