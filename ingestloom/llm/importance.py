@@ -40,6 +40,8 @@ REFERENCE_NGRAMS = 256
 #: Scale of the Gumbel draws; 1 samples in proportion to the weights, less is nearer to the k largest.
 TEMPERATURE = 0.1
 SEED = 11
+#: A good document lost counts as many poor ones kept, when the threshold is chosen.
+LOSS_OF_GOOD = 4.0
 _BINS = 2048
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -134,7 +136,7 @@ def score_documents(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
 
 
 def _threshold(scores: DataFrame, ids: dict[bool, np.ndarray]) -> float:
-    """The weight that separates held-out good documents from poor ones with the least mean error."""
+    """The weight that separates held-out good documents from poor ones with the least weighted error."""
     if not len(ids[True]) or not len(ids[False]):
         return 0.0
     spark = scores.sparkSession
@@ -145,7 +147,7 @@ def _threshold(scores: DataFrame, ids: dict[bool, np.ndarray]) -> float:
         return 0.0
     cuts = np.unique(np.concatenate([other, good]))
     cuts = np.concatenate([cuts, (cuts[1:] + cuts[:-1]) / 2])
-    error = np.searchsorted(good, cuts, side="left") / len(good) + 1 - np.searchsorted(other, cuts, side="left") / len(other)
+    error = LOSS_OF_GOOD * np.searchsorted(good, cuts, side="left") / len(good) + 1 - np.searchsorted(other, cuts, side="left") / len(other)
     best = cuts[error <= error.min() + 1e-12]
     return float(best.min())
 
