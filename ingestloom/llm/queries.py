@@ -34,6 +34,12 @@ def op5_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ingestloom.llm.pii import scan_pii
+
+    return scan_pii(_table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ingestloom.llm.mixing import mix_documents
 
@@ -48,5 +54,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_simhash_near_dedup, op4_line_crf, op5_guess_cost_secrets, op7_mix_sources, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_simhash_near_dedup, op4_line_crf, op5_guess_cost_secrets, op6_pii, op7_mix_sources, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
