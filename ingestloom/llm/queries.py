@@ -21,6 +21,28 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ingestloom.llm.covertree import top_inner_products
+
+    return top_inner_products(_table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+with usable as (
+    select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v
+    from embeddings
+    where vec_id is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+    from usable q join usable c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id
+), ranked as (
+    select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""
+
+
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ingestloom.llm.lines_crf import apply_rules, train_on_labels
 
@@ -54,5 +76,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_simhash_near_dedup, op4_line_crf, op5_guess_cost_secrets, op6_pii, op7_mix_sources, op10_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_simhash_near_dedup, op3_cover_tree_top_k, op4_line_crf, op5_guess_cost_secrets, op6_pii, op7_mix_sources, op10_byte_bpe)}
+ORACLE_SQL: dict[str, str] = {"op3_cover_tree_top_k": OP3_SQL}
