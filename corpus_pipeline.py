@@ -12,6 +12,13 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later near-copies of lines go from the texts."""
+    from ingestloom.llm.fuzzy_lines import drop_lines
+
+    return drop_lines(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
     from ingestloom.llm.simhash import drop_near_duplicates
@@ -35,7 +42,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality classifier", classify), ("SimHash near-dedup", near_dedup), ("mixing sources to target weights", mix_sources), ("byte-level BPE encoding and decoding", encode)]
+STAGES = [
+    ("quality classifier", classify),
+    ("line dedup", dedup_lines),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
 
 #: SQL can express neither the trained classifier nor the tokenizer.
 ORACLE_SQL: str | None = None

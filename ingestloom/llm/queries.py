@@ -74,6 +74,12 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ingestloom.llm.fuzzy_lines import line_digests
+
+    return line_digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -82,5 +88,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_simhash_near_dedup, op3_cover_tree_top_k, op4_line_crf, op5_guess_cost_secrets, op6_pii, op7_mix_sources, op8_repeated_passages, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_simhash_near_dedup, op3_cover_tree_top_k, op4_line_crf, op5_guess_cost_secrets, op6_pii, op7_mix_sources, op8_repeated_passages, op9_fuzzy_lines, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {"op3_cover_tree_top_k": OP3_SQL}
