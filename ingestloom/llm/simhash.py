@@ -77,13 +77,14 @@ def ball_keys(fp: F.Column, bits: int = 64, segment: int = SEGMENT_BITS) -> F.Co
 def fingerprint_components(prints: DataFrame) -> DataFrame:
     """(fp, component_id) of every fingerprint in ``prints`` (doc_id, fp); links at two or fewer bits."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    probes = nodes.where("rep is not null").select("fp", "rep", F.explode(ball_keys(F.col("fp"))).alias("key"))
-    tables = probes.groupBy("key").agg(F.min(F.struct("rep", "fp")).alias("least"), F.collect_list(F.struct("rep", "fp")).alias("members")).where(F.size("members") > 1)
-    matches = tables.select("least", F.explode("members").alias("member"))
-    verified = matches.where((F.bit_count(F.col("least.fp").bitwiseXOR(F.col("member.fp"))) <= 2) & (F.col("least.rep") < F.col("member.rep")))
-    linked = connected_components(verified.select(F.col("member.rep").alias("a"), F.col("least.rep").alias("b")))
-    named = nodes.join(linked, nodes["rep"] == linked["node"], "left")
-    return named.select("fp", F.coalesce("component", "rep").alias("component_id"))
+    probes = nodes.select("fp", F.explode(ball_keys(F.col("fp"))).alias("key"))
+    tables = probes.groupBy("key").agg(F.min("fp").alias("least"), F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    matches = tables.select("least", F.explode("members").alias("member")).where("least <> member")
+    verified = matches.where(F.bit_count(F.col("least").bitwiseXOR(F.col("member"))) <= 2)
+    linked = connected_components(verified.select(F.col("member").alias("a"), F.col("least").alias("b")))
+    rooted = materialize(nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root")))
+    least = materialize(rooted.groupBy("root").agg(F.min("rep").alias("component_id")))
+    return rooted.join(least, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
