@@ -47,6 +47,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        # done as well when no node has two neighbours below and none is both above and below
         before = now
     raise RuntimeError("components did not settle")

@@ -11,8 +11,7 @@ stay. k is the number of documents whose weight lies above the threshold that
 separates the labelled documents best, so it follows the corpus.
 
 Defined results: null and empty text has no n-grams and log weight 0. Without
-labels of both kinds the threshold is 0; without any good label nothing can be
-told apart and every document stays. Rows tied at the cut all stay. Repeated
+labels of both kinds nothing can be told apart and every document stays. Rows tied at the cut all stay. Repeated
 rows are scored alike. Extra columns are dropped by ``select_documents`` and
 kept by ``filter_documents``. An empty table gives an empty result.
 """
@@ -138,13 +137,13 @@ def score_documents(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
 def _threshold(scores: DataFrame, ids: dict[bool, np.ndarray]) -> float:
     """The weight that separates held-out good documents from poor ones with the least weighted error."""
     if not len(ids[True]) or not len(ids[False]):
-        return 0.0
+        return -np.inf
     spark = scores.sparkSession
     marked = spark.createDataFrame([(int(i), kind) for kind, some in ids.items() for i in some], "id long, good boolean")
     found = scores.join(F.broadcast(marked), scores["doc_id"] == marked["id"]).groupBy("id", "good").agg(F.max("log_weight").alias("w")).collect()  # bounded by the sample
     good, other = (np.sort([r.w for r in found if r.good is kind]) for kind in (True, False))
     if not len(good) or not len(other):
-        return 0.0
+        return -np.inf
     cuts = np.unique(np.concatenate([other, good]))
     cuts = np.concatenate([cuts, (cuts[1:] + cuts[:-1]) / 2])
     error = LOSS_OF_GOOD * np.searchsorted(good, cuts, side="left") / len(good) + 1 - np.searchsorted(other, cuts, side="left") / len(other)
