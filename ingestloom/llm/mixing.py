@@ -127,7 +127,7 @@ def land(probabilities: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _flight(df: DataFrame, seed: int, last: bool) -> DataFrame:
     """Flies each (source_rank, block) of doc_id, size, p; lands it if ``last``."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "doc_id", "p"], ascending=[False, True, True], na_position="last", kind="stable", ignore_index=True)
         rng = np.random.default_rng([seed, int(key[0]), int(key[1])])
         p = fly(rows.p.to_numpy(), rows["size"].to_numpy(), rng)

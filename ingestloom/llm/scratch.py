@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PARALLEL_FIRST = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -32,11 +33,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The rows are computed a single time, whatever reads them later, and a lost
-    executor costs no recomputation of what came before.
+    executor costs no recomputation of what came before. Small results go to
+    few files: partitions after a shuffle are joined to the advised size.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/ingestloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_PARALLEL_FIRST)
+    spark.conf.set(_PARALLEL_FIRST, "false")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_PARALLEL_FIRST, before)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
