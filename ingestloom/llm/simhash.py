@@ -77,7 +77,9 @@ def ball_keys(fp: F.Column, bits: int = 64, segment: int = SEGMENT_BITS) -> F.Co
 def fingerprint_components(prints: DataFrame) -> DataFrame:
     """(fp, component_id) of every fingerprint in ``prints`` (doc_id, fp); links at two or fewer bits."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    probes = nodes.select("fp", F.explode(ball_keys(F.col("fp"))).alias("key"))
+    # the table is small and its keys are many: spread it before they are made
+    spread = nodes.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    probes = spread.select("fp", F.explode(ball_keys(F.col("fp"))).alias("key"))
     tables = probes.groupBy("key").agg(F.min("fp").alias("least"), F.collect_list("fp").alias("members")).where(F.size("members") > 1)
     matches = tables.select("least", F.explode("members").alias("member")).where("least <> member")
     verified = matches.where(F.bit_count(F.col("least").bitwiseXOR(F.col("member"))) <= 2)
