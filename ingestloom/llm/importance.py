@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ingestloom.llm.bytesview import SEPARATORS, blocks, byte_view, mix, prefix_hashes, span_hashes
 from ingestloom.llm.scratch import materialize
@@ -119,7 +120,7 @@ def log_ratios(docs: DataFrame, good: np.ndarray, buckets: int = BUCKETS, smooth
 
 
 def score_documents(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """doc_id, n_ngrams and log_weight of every document."""
+    """The columns of ``docs``, then _ngrams and _weight of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # as large as the number of buckets, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +130,9 @@ def score_documents(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
                 grams, rows = ngram_buckets(part.column("text"), len(table))
                 counts = np.bincount(rows, minlength=part.num_rows)
                 weights = np.bincount(rows, weights=table[grams], minlength=part.num_rows) / (counts + PRIOR_NGRAMS) * REFERENCE_NGRAMS
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_ngrams": pa.array(counts, pa.int64()), "log_weight": pa.array(weights, pa.float64())})
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64()), pa.array(weights, pa.float64())], names=[*part.schema.names, "_ngrams", "_weight"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_ngrams long, log_weight double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_ngrams", LongType()), StructField("_weight", DoubleType())]))
 
 
 def _threshold(scores: DataFrame, ids: dict[bool, np.ndarray]) -> float:
@@ -140,7 +141,7 @@ def _threshold(scores: DataFrame, ids: dict[bool, np.ndarray]) -> float:
         return -np.inf
     spark = scores.sparkSession
     marked = spark.createDataFrame([(int(i), kind) for kind, some in ids.items() for i in some], "id long, good boolean")
-    found = scores.join(F.broadcast(marked), scores["doc_id"] == marked["id"]).groupBy("id", "good").agg(F.max("log_weight").alias("w")).collect()  # bounded by the sample
+    found = scores.join(F.broadcast(marked), scores["doc_id"] == marked["id"]).groupBy("id", "good").agg(F.max("_weight").alias("w")).collect()  # bounded by the sample
     good, other = (np.sort([r.w for r in found if r.good is kind]) for kind in (True, False))
     if not len(good) or not len(other):
         return -np.inf
@@ -176,23 +177,34 @@ def kth_largest(values: DataFrame, k: int, column: str = "v") -> float:
     return float(low)
 
 
-def select_documents(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, seed: int = SEED, limit: int = MAX_LABELLED, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, n_ngrams, log_weight and kept (always true) of the sampled documents."""
+def _drawn(temperature: float, seed: int) -> F.Column:
+    return F.col("_weight") + temperature * gumbel(F.col("doc_id"), seed)
+
+
+def fit(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, seed: int = SEED, limit: int = MAX_LABELLED, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
+    """(log ratios of the buckets, least drawn weight of a document that stays)."""
     ids, target = sample_labels(labels, limit)
     if not len(target):
-        return score_documents(docs, np.zeros(buckets)).withColumn("kept", F.lit(True))
-    scores = materialize(score_documents(docs, log_ratios(docs, target, buckets)))
+        return np.zeros(buckets), -np.inf
+    ratios = log_ratios(docs, target, buckets)
+    scores = materialize(score_documents(_texts(docs), ratios).select("doc_id", "_weight"))
     if k is None:
-        k = scores.where(F.col("log_weight") >= _threshold(scores, ids)).count()
-    drawn = scores.withColumn("v", F.col("log_weight") + temperature * gumbel(F.col("doc_id"), seed))
+        k = scores.where(F.col("_weight") >= F.lit(_threshold(scores, ids))).count()
     if k <= 0:
-        return scores.where("false").withColumn("kept", F.lit(True))
-    if k < scores.count():
-        drawn = drawn.where(F.col("v") >= kth_largest(drawn, k))
-    return drawn.select("doc_id", "n_ngrams", "log_weight", F.lit(True).alias("kept"))
+        return ratios, np.inf
+    if k >= scores.count():
+        return ratios, -np.inf
+    return ratios, kth_largest(scores.select(_drawn(temperature, seed).alias("v")), k)
+
+
+def select_documents(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, seed: int = SEED, **options) -> DataFrame:
+    """doc_id, n_ngrams, log_weight and kept (always true) of the sampled documents."""
+    ratios, cut = fit(docs, labels, temperature=temperature, seed=seed, **options)
+    taken = score_documents(_texts(docs), ratios).where(_drawn(temperature, seed) >= F.lit(cut))
+    return taken.select("doc_id", F.col("_ngrams").alias("n_ngrams"), F.col("_weight").alias("log_weight"), F.lit(True).alias("kept"))
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The columns of ``docs`` for the sampled documents; rows that share a doc_id stay together."""
-    kept = select_documents(docs, labels, **options).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+def filter_documents(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, seed: int = SEED, **options) -> DataFrame:
+    """The columns of ``docs`` for the sampled documents; they are scored as they are read, so no text is shuffled."""
+    ratios, cut = fit(docs, labels, temperature=temperature, seed=seed, **options)
+    return score_documents(docs, ratios).where(_drawn(temperature, seed) >= F.lit(cut)).select(*docs.columns)
