@@ -2,9 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_earlier: list[str] = []
+
+
+def stage(function: Stage) -> Stage:
+    """A stage's rows are written before the next stage begins; what it kept for them is deleted then."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        from ingestloom.llm import scratch
+
+        scratch.release(_earlier)
+        start = scratch.mark()
+        out = function(spark, docs, sf_dir)
+        _earlier[:] = scratch.made_since(start)
+        return out
+
+    return run_stage
+
 
+@stage
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling takes stay."""
     from ingestloom.llm.importance import filter_documents
@@ -12,6 +35,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later near-copies of lines go from the texts."""
     from ingestloom.llm.fuzzy_lines import drop_lines
@@ -19,6 +43,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_lines(docs)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
     from ingestloom.llm.simhash import drop_near_duplicates
@@ -26,6 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     from ingestloom.llm.mixing import apply_mix
@@ -33,6 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return apply_mix(docs)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of their decoding."""
     import public_tokenizers
@@ -59,8 +86,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ingestloom.llm.scratch import materialize
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, function) in enumerate(STAGES):
+        docs = function(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs)
     return docs

@@ -13,7 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PARALLEL_FIRST = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+#: Small partitions are joined to the advised size; shuffle files go once the table is written.
+_WHILE_WRITING = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -38,25 +39,43 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/ingestloom-{uuid.uuid4().hex}"
-    before = spark.conf.get(_PARALLEL_FIRST)
-    spark.conf.set(_PARALLEL_FIRST, "false")
+    before = {key: spark.conf.get(key) for key in _WHILE_WRITING}
+    for key, value in _WHILE_WRITING.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_PARALLEL_FIRST, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """How many tables there are now, for ``made_since``."""
+    return len(_made)
+
+
+def made_since(start: int) -> list[str]:
+    """Paths of the tables made since a mark."""
+    return [path for _, path in _made[start:]]
+
+
+def release(paths: list[str]) -> None:
+    """Delete some intermediate tables; call when what reads them was written."""
+    doomed = [(spark, path) for spark, path in _made if path in paths]
+    _made[:] = [entry for entry in _made if entry not in doomed]
+    for spark, path in doomed:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def purge() -> None:
-    """Delete every intermediate table; call when their results were written."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended; nothing can be deleted through it
-            return
+    """Delete every intermediate table, as far as their sessions are alive."""
+    try:
+        release([path for _, path in _made])
+    except Exception:  # a session has ended; nothing can be deleted through it
+        _made.clear()
 
 
 atexit.register(purge)

@@ -107,5 +107,5 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFra
     named = fingerprint_components(prints)
     gone = materialize(prints.join(named, "fp").where("doc_id <> component_id and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
     one = Window.partitionBy("doc_id").orderBy("source", "text")
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    kept = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
     return kept.withColumn("_nth", F.row_number().over(one)).where("_nth = 1 or doc_id is null").select(*docs.columns)
