@@ -313,3 +313,23 @@ def test_lines_against_all_pairs(spark):
     assert fuzzy_lines.drop_lines(docs.where("false")).count() == 0 and fuzzy_lines.drop_lines(docs).columns == docs.columns
     repeated = table(spark, ["the very same line of text here", "the very same line of text here"], [1, 1])
     assert fuzzy_lines.drop_lines(repeated).count() == 2
+
+
+def test_no_link_of_a_crowded_band_is_lost(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    fixed, first, second = [word() for _ in range(18)], [word() for _ in range(300)], [word() for _ in range(300)]
+    variants = {(rng.randrange(300), rng.randrange(300)) for _ in range(900)}
+    rows = [" ".join([*fixed[:4], first[i], *fixed[4:12], second[j], *fixed[12:]]) for i, j in sorted(variants)]
+    docs = table(spark, ["\n".join(rows[k : k + 50]) for k in range(0, len(rows), 50)])
+    lines = fuzzy_lines.line_table(docs)
+    sets = {r.id: set(r.s) for r in fuzzy_lines.shingle_sets(lines).collect()}
+    shared = defaultdict(list)
+    for r in fuzzy_lines.bands(fuzzy_lines.signatures(lines)).collect():
+        shared[r.key].append(r.id)
+    pairs = {tuple(sorted(p)) for ids in shared.values() for p in itertools.combinations(ids, 2)}
+    edges = [(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    places = lines.groupBy("id").agg(F.min(F.struct("doc_id", "text_id", "n")).alias("at"), F.count("*").alias("times"))
+    got = [(r.a, r.b) for r in fuzzy_lines.links(lines, places).collect()]
+    assert max(map(len, shared.values())) > 100 and set(got) <= {(max(p), min(p)) for p in edges}
+    assert groups(sets, got) == groups(sets, edges)
