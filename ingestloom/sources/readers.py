@@ -94,7 +94,7 @@ class CsvLoader:
     """Delimited text: sniffed, read as strings, malformed rows counted and dropped.
 
     Embedded line ends need a reader that does not split files, so it is used
-    only where the sample holds a quote and quotes are not literal.
+    only where some line of any file holds a quote and quotes are not literal.
     """
 
     def __init__(self, drop_malformed: bool = False):
@@ -119,7 +119,7 @@ class CsvLoader:
         if mode == "literal":
             reader = reader.option("quote", "")
         else:
-            reader = reader.option("quote", '"').option("escape", '"').option("multiLine", b'"' in head)
+            reader = reader.option("quote", '"').option("escape", '"').option("multiLine", b'"' in head or sniff.has_quote(spark, options.path))
         if self.drop_malformed:
             schema = schema.add(CORRUPT, T.StringType())
             reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)

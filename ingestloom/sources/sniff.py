@@ -1,7 +1,8 @@
 """What a delimited file looks like, from its head: encoding, delimiter, quoting, line ends.
 
-Only the head is read, on the driver and through Hadoop's file systems, so
-that a path which only Spark can open works as well.
+The head is read on the driver and through Hadoop's file systems, so that a
+path which only Spark can open works as well. Whether there is a quote at all
+is asked of every file, on the executors.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import io
 import logging
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
@@ -36,6 +38,14 @@ def read_head(spark: SparkSession, path: str, limit: int = QUOTE_BYTES) -> bytes
         stream.close()
 
 
+def has_quote(spark: SparkSession, path: str) -> bool:
+    """Whether a line of any of the files holds a quote; a distributed scan that ends at the first one.
+
+    The parity of a line's quotes would not do: one inside an unquoted value is plain text.
+    """
+    return not spark.read.text(path).where(F.contains("value", F.lit('"'))).isEmpty()
+
+
 def infer_encoding(head: bytes) -> str:
     """UTF-16 or UTF-8 by byte order mark, UTF-8 if it decodes, else Latin-1."""
     sample = head[:ENCODING_BYTES]

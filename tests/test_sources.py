@@ -65,6 +65,18 @@ def test_embedded_breaks_and_tabs(spark, tmp_path):
     assert read(spark, path) == [("1", "hello\nworld"), ("2", "foo\tbar"), ("3", 'say "hi"')]
 
 
+def test_breaks_behind_the_head_and_in_later_files(spark, tmp_path):
+    want = [(str(i), "x" * 1000) for i in range(4300)] + [("a", "hello\nworld")]
+    path = tmp_path / "test_table.csv"
+    path.write_text("id,name\n" + "".join(f"{i},{n}\n" for i, n in want[:-1]) + 'a,"hello\nworld"\n')
+    assert sorted(read(spark, path)) == sorted(want)
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,name\n1,x\n")
+    (folder / "b.csv").write_text('id,name\n2,"hello\nworld"\n')
+    assert sorted(read(spark, folder)) == [("1", "x"), ("2", "hello\nworld")]
+
+
 def test_literal_and_csv_quotes(spark, tmp_path):
     path = tmp_path / "test_table.csv"
     path.write_text('ID,Name,extra\n1,"hello",x\n')
