@@ -333,3 +333,13 @@ def test_no_link_of_a_crowded_band_is_lost(spark):
     got = [(r.a, r.b) for r in fuzzy_lines.links(lines, places).collect()]
     assert max(map(len, shared.values())) > 100 and set(got) <= {(max(p), min(p)) for p in edges}
     assert groups(sets, got) == groups(sets, edges)
+
+
+def test_one_changed_character_of_a_short_line(spark):
+    rng = random.Random(7)
+    lines = [" ".join("".join(rng.choices("abcdefghijkl", k=rng.randint(4, 7))) for _ in range(10)) for _ in range(20)]
+    lines += ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(22)) for _ in range(5)]
+    typos = [x[:30] + "#" + x[31:] if len(x) > 30 else x[:-1] + "#" for x in lines]
+    got = fuzzy_lines.drop_lines(table(spark, ["\n".join(lines), "\n".join(typos)])).orderBy("doc_id").collect()
+    # banding may miss a link
+    assert got[0].text == "\n".join(lines) and len(got[1].text.split("\n")) <= 2
