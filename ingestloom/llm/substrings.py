@@ -9,24 +9,27 @@ whole corpus, texts are cut into contexts that meet where they must:
    anchors at equal places, and neighbouring windows mostly share theirs, so a
    text has about one anchor in 170 bytes. The bytes of all windows that share
    an anchor are its context.
-2. Contexts are counted by (anchor hash, context hash). A context that occurs
+2. Contexts are counted by anchor hash and 128-bit digest. A context that occurs
    twice is a repeat as a whole; copies of any number end here as a count.
-3. Anchors with several different contexts are looked at closer. Their contexts
-   are brought together, one of each kind, and ordered by suffix array up to
-   the depth of the window. From the order and its common-prefix lengths come
-   the longest previous and next factor of each position: matches with the
-   previous and next smaller positions in suffix order, on either side. A
+3. Where an anchor has several different contexts, one of each kind is read from
+   the texts and they are ordered by suffix array up to the depth of the window.
+   The previous and next smaller positions in that order give the longest
+   previous factor of each position, the next ones its longest next factor; a
    position whose factor reaches the window starts a repeat.
-4. Anchors with more than ``HOT_CONTEXTS`` different contexts are never brought
-   together: their windows are counted by hash, spread over all tasks.
-
-Which anchors need step 3 or 4 is sent to the tasks as bitmaps of a fixed size;
-a false positive costs work and changes nothing.
+4. An anchor with more than ``MANY`` different contexts is not gathered. They are
+   split by the distance of windows from the anchor, into blocks of 64, then 8,
+   then 1 windows; all windows of a block hold the same core of bytes, and only
+   pieces with equal cores can share a window. Pieces are counted and ordered as
+   contexts are (steps 2 and 3), so what many contexts share becomes one piece
+   with a count, and what none shares is alone. Pieces of one window need no
+   order: they are equal or they are not.
 
 Defined results: null text is empty; a text shorter than the window has no
-repeats of its own. Repeated rows repeat each other. Matches never cross
-documents. Extra columns are dropped by ``remove_repeats`` and kept by
-``drop_repeats``. An empty table gives an empty result.
+repeats of its own. Very long texts are anchored in overlapping segments and
+otherwise treated like any other. Repeated rows repeat each other. Matches never
+cross documents. Extra columns, whatever their names, are dropped by
+``remove_repeats`` and kept by ``drop_repeats``. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -36,22 +39,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ingestloom.llm.bytesview import blocks, byte_view, mix, prefix_hashes, span_hashes
+from ingestloom.llm.names import fresh
 from ingestloom.llm.scratch import materialize
 
 WINDOW = 400
 GRAM = 64
-HOT_CONTEXTS = 1500
+#: Different contexts of an anchor, or pieces of a core, that are ordered together at most.
+MANY = 256
+#: Windows of a piece, level by level.
+SPLITS = (64, 8, 1)
 BATCH_BYTES = 3 << 20
-BITMAP_BITS = 1 << 27
-_BUCKET = 32768
+#: Windows of a segment of a very long text.
+SEGMENT = 8 << 20
+_CORE_BLOCK = 32
 _LOW = np.uint64(0xFFFFFFFF)
 
-
 def suffix_order(data: np.ndarray, depth: int | None = None, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and ranks by prefix doubling.
 
@@ -84,68 +90,65 @@ def suffix_order(data: np.ndarray, depth: int | None = None, ends: np.ndarray |
     return np.argsort(rank, kind="stable"), rank
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, ends: np.ndarray, limit: int) -> np.ndarray:
-    """Length of the common prefix of each suffix with the one before it in ``order``, up to ``limit``."""
-    n = len(order)
-    lcp = np.zeros(n, np.int64)
-    if n < 2:
-        return lcp
-    a, b = order[:-1], order[1:]
-    room = np.minimum(np.minimum(ends[a] - a, ends[b] - b), limit)
-    live = np.flatnonzero(room > 0)
-    length = np.zeros(n - 1, np.int64)
-    while len(live):
-        same = data[a[live] + length[live]] == data[b[live] + length[live]]
-        live = live[same]
-        length[live] += 1
-        live = live[length[live] < room[live]]
-    lcp[1:] = length
-    return lcp
+def _factors_before(places: np.ndarray, commons: np.ndarray) -> np.ndarray:
+    """For each entry its common prefix with the nearest entry before it whose place is smaller, 0 without one.
+
+    ``commons`` holds the common prefix of each entry with the one before it.
+    All entries follow their links back at once, each carrying the least common
+    prefix on the way.
+    """
+    at, least = np.arange(len(places)) - 1, commons.copy()
+    least[:1] = 0
+    going = np.flatnonzero(least > 0)
+    going = going[places[at[going]] > places[going]]
+    while len(going):
+        back = at[going]
+        least[going] = np.minimum(least[going], least[back])
+        at[going] = at[back]
+        going = going[least[going] > 0]
+        going = going[places[at[going]] > places[going]]
+    return least
 
 
 def factor_lengths(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Longest previous and longest next factor of every position.
 
-    The longest earlier match of a position is with the previous or the next
-    smaller position in suffix order; later matches likewise with larger ones.
-    One pass each with a stack of positions and the least common prefix between.
+    ``order`` holds the positions in suffix order and ``lcp`` the common prefix
+    of each with the one before. The longest earlier match of a position is with
+    the previous or the next smaller position in suffix order; later matches
+    likewise with larger ones.
     """
     n = len(order)
     previous, following = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for result, sign in ((previous, 1), (following, -1)):
-        for places, commons in ((order, lcp), (order[::-1], np.concatenate([[0], lcp[:0:-1]]) if n else lcp)):
-            stack: list[tuple[int, int]] = []  # (signed position, common prefix with the entry below)
-            for p, common in zip((sign * places).tolist(), commons.tolist(), strict=True):
-                least = common
-                while stack and stack[-1][0] > p:
-                    least = min(least, stack.pop()[1])
-                if stack:
-                    result[sign * p] = max(result[sign * p], least)
-                stack.append((p, least))
+    if n:
+        turned = np.concatenate([[0], lcp[:0:-1]])
+        for result, sign in ((previous, 1), (following, -1)):
+            forth = _factors_before(sign * order, lcp)
+            back = _factors_before(sign * order[::-1], turned)[::-1]
+            result[order] = np.maximum(forth, back)
     return previous, following
 
 
 def repeated_starts(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, window: int, earlier_only: bool = False) -> np.ndarray:
-    """Which of ``starts`` begin a window that also begins at another (or an earlier) of them.
+    """Which of ``starts`` (ascending) begin a window that also begins at another (or an earlier) of them.
 
-    ``factor_lengths`` cut at the window: in suffix order to that depth, windows
-    that match are a run of equal ranks, and a factor reaches the window exactly
-    where another (an earlier) position is in the run.
+    Suffixes are ordered to the depth of the window, and common prefixes are
+    cut there: shorter ones count as 0, which no factor that reaches the window
+    depends on.
     """
-    _, rank = suffix_order(data, window, ends)
-    mine = rank[starts]
-    order = np.lexsort((starts, mine))
-    grouped = mine[order]
-    first = np.concatenate([[True], grouped[1:] != grouped[:-1]])
-    last = np.concatenate([first[1:], [True]])
-    out = np.empty(len(starts), bool)
-    out[order] = ~first if earlier_only else ~(first & last)
-    return out
+    order, rank = suffix_order(data, window, ends)
+    number = np.full(len(data), -1)
+    number[starts] = np.arange(len(starts))
+    order = order[number[order] >= 0]
+    lcp = np.zeros(len(order), np.int64)
+    lcp[1:] = np.where(rank[order[1:]] == rank[order[:-1]], window, 0)
+    previous, following = factor_lengths(number[order], lcp)
+    return (previous if earlier_only else np.maximum(previous, following)) >= window
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Anchors of all texts: row, first window, number of windows, anchor hash and context hash."""
-    empty = {k: np.zeros(0, np.int64) for k in ("row", "start", "count")} | {k: np.zeros(0, np.uint64) for k in ("h", "c")}
+    """Anchors of all texts: row, first window, number of windows, anchor hash, and how far the anchor is from the first window."""
+    empty = {k: np.zeros(0, np.int64) for k in ("row", "start", "count", "off")} | {"h": np.zeros(0, np.uint64)}
     width = window - gram + 1
     long_rows = np.flatnonzero(np.diff(offsets) >= window)
     if not len(long_rows):
@@ -168,214 +171,250 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: i
     at = np.flatnonzero(cut)
     begin, anchor = starts[at], anchor[at]
     n = np.diff(np.append(at, len(starts)))
-    context = span_hashes(sums, begin, begin + n - 1 + window)
-    place = mix((anchor - begin).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + n.astype(np.uint64))
-    return {"row": np.searchsorted(offsets, begin, side="right") - 1, "start": begin, "count": n, "h": hashes[anchor], "c": mix(context ^ place)}
-
-
-def _text_ids(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return span_hashes(prefix_hashes(data), offsets[:-1], offsets[1:]) ^ mix(np.diff(offsets).astype(np.uint64))
+    return {"row": np.searchsorted(offsets, begin, side="right") - 1, "start": begin, "count": n, "off": anchor - begin, "h": hashes[anchor]}
 
 
 def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64), pa.int64())
 
 
+def _digests(data: np.ndarray | bytes, starts: list[int], ends: list[int], seeds: list[int]) -> np.ndarray:
+    """128-bit digest of each span, as two columns of unsigned integers."""
+    from xxhash import xxh3_128_digest
+
+    view = memoryview(data)
+    joined = b"".join([xxh3_128_digest(view[s:e], k) for s, e, k in zip(starts, ends, seeds, strict=True)])
+    return np.frombuffer(joined, "<u8").reshape(-1, 2)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, text_id and text; the two ids name a text wherever a table is read again."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
 
 
-def anchor_table(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_id, h, c, start (in the text) and count of every anchor."""
+def _segments(part: pa.RecordBatch, window: int, limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shift, bytes, offsets) of the texts of ``part``; a very long text comes in segments that share ``window - 1`` bytes."""
+    data, offsets = byte_view(part.column("text"))
+    if part.num_rows > 1 or len(data) < limit + window:
+        yield 0, data, offsets
+        return
+    for start in range(0, len(data) - window + 1, limit):
+        piece = data[start : start + limit + window - 1]
+        yield start, piece, np.array([0, len(piece)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch):
-                data, offsets = byte_view(part.column("text"))
-                found = anchors(data, offsets, window)
-                rows = found["row"]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": part.column("doc_id").take(pa.array(rows)),
-                        "text_id": _long(_text_ids(data, offsets)[rows]),
-                        "h": _long(found["h"]),
-                        "c": _long(found["c"]),
-                        "start": pa.array((found["start"] - offsets[rows]), pa.int64()),
-                        "count": pa.array(found["count"], pa.int64()),
-                    }
-                )
-
-    return _texts(docs).mapInArrow(run, "doc_id long, text_id long, h long, c long, start long, count long")
-
-
-def bitmap(rows: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A bitmap of the low bits of ``h``; its size is fixed, so it can be sent to every task."""
-    place = F.pmod("h", F.lit(bits))
-    parts = rows.groupBy(F.floor(place / _BUCKET).cast("int").alias("bucket")).agg(F.bitmap_construct_agg((place % _BUCKET).cast("long")).alias("bits")).collect()
-    out = np.zeros(bits // 8, np.uint8)
-    for row in parts:
-        out[row.bucket * _BUCKET // 8 : (row.bucket + 1) * _BUCKET // 8] = np.frombuffer(row.bits, np.uint8)
-    return out
-
-
-def _marked(table: np.ndarray, h: np.ndarray, bits: int = BITMAP_BITS) -> np.ndarray:
-    place = (h & np.uint64(bits - 1)).astype(np.int64)
-    return (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
-
-
-def contexts(docs: DataFrame, close: np.ndarray, hot: np.ndarray, window: int = WINDOW) -> DataFrame:
-    """Contexts (h, c, count, bytes) of marked anchors, one of each kind a task; of hot ones every window instead.
-
-    Rows of windows hold the window's hash in ``c``, its doc_id and text_id, its
-    start, and no bytes.
-    """
-    spark = docs.sparkSession.sparkContext
-    marks = spark.broadcast((close, hot))
+
+def anchor_table(docs: DataFrame, window: int = WINDOW, segment: int = SEGMENT) -> DataFrame:
+    """doc_id, text_id, anchor hash h, digest c1 c2, start (in the text), count and off of every context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, many = marks.value
-        seen: set[bytes] = set()
         for batch in batches:
             for part in blocks(batch):
-                data, offsets = byte_view(part.column("text"))
-                found = anchors(data, offsets, window)
-                picked = np.flatnonzero(_marked(near, found["h"]))
-                dense = _marked(many, found["h"][picked])
-                fresh = []
-                for i in picked[~dense].tolist():
-                    key = found["h"][i].tobytes() + found["c"][i].tobytes()
-                    if key not in seen:
-                        seen.add(key)
-                        fresh.append(i)
-                if fresh:
-                    begin, count = found["start"][fresh], found["count"][fresh]
-                    raw = [data[s : s + n - 1 + window].tobytes() for s, n in zip(begin.tolist(), count.tolist(), strict=True)]
-                    none = pa.nulls(len(fresh), pa.int64())
-                    yield pa.RecordBatch.from_pydict({"h": _long(found["h"][fresh]), "c": _long(found["c"][fresh]), "count": pa.array(count, pa.int64()), "bytes": pa.array(raw, pa.binary()), "doc_id": none, "text_id": none, "start": none})
-                for i in np.array_split(picked[dense], -(-len(picked[dense]) // 4096)) if dense.any() else ():
-                    n = found["count"][i]
-                    which = np.repeat(i, n)
-                    starts = found["start"][which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    rows = found["row"][which]
-                    size = len(which)
+                for shift, data, offsets in _segments(part, window, segment):
+                    found = anchors(data, offsets, window)
+                    rows, start, count, off = (found[k] for k in ("row", "start", "count", "off"))
+                    digest = _digests(np.ascontiguousarray(data), start.tolist(), (start + count - 1 + window).tolist(), (off * 1024 + count).tolist())
+                    taken = pa.array(rows)
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "h": _long(found["h"][which]),
-                            "c": _long(span_hashes(prefix_hashes(data), starts, starts + window)),
-                            "count": pa.nulls(size, pa.int64()),
-                            "bytes": pa.nulls(size, pa.binary()),
-                            "doc_id": part.column("doc_id").take(pa.array(rows)),
-                            "text_id": _long(_text_ids(data, offsets)[rows]),
-                            "start": pa.array(starts - offsets[rows], pa.int64()),
+                            "doc_id": part.column("doc_id").take(taken),
+                            "text_id": part.column("text_id").take(taken),
+                            "h": _long(found["h"]),
+                            "c1": _long(np.ascontiguousarray(digest[:, 0])),
+                            "c2": _long(np.ascontiguousarray(digest[:, 1])),
+                            "start": pa.array(start - offsets[rows] + shift, pa.int64()),
+                            "count": pa.array(count, pa.int64()),
+                            "off": pa.array(off, pa.int64()),
                         }
                     )
 
-    return _texts(docs).mapInArrow(run, "h long, c long, count long, bytes binary, doc_id long, text_id long, start long")
+    return _texts(docs).mapInArrow(run, "doc_id long, text_id long, h long, c1 long, c2 long, start long, count long, off long")
+
 
+_PIECE = "h long, c1 long, c2 long, off long, count long, bytes binary"
+_PIECE_COLUMNS = ("h", "c1", "c2", "off", "count", "bytes")
 
-def _repeats_of(batch: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[int, int, int, int]]:
-    """(h, c, first, last): runs of windows of each context that are repeats within the batch."""
-    lengths = np.array([len(b[3]) for b in batch])
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
-    data = np.frombuffer(b"".join(b[3] for b in batch), np.uint8)
-    counts = np.array([b[2] for b in batch])
-    owner = np.repeat(np.arange(len(batch)), counts)
-    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = bounds[owner] + place
-    hashes = span_hashes(prefix_hashes(data), starts, starts + window)
+
+def context_bytes(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The bytes of ``wanted`` contexts (h, c1, c2, off, count, many, and where one of the kind stands)."""
+    lists = materialize(wanted.groupBy(F.col("doc_id").alias("in_doc"), F.col("text_id").alias("in_text")).agg(F.collect_list(F.struct("start", "h", "c1", "c2", "off", "count", "many")).alias("wanted")))
+    texts = _texts(docs)
+    there = texts["doc_id"].eqNullSafe(lists["in_doc"]) & (texts["text_id"] == lists["in_text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # rows that repeat doc_id and text give their contexts once
+        for batch in batches:
+            for text, entries in zip(batch.column("text"), batch.column("wanted"), strict=True):
+                raw = text.as_py().encode()
+                rows = []
+                for e in entries.as_py():
+                    key = (e["c1"], e["c2"])
+                    if key not in seen:
+                        seen.add(key)
+                        rows.append((e["h"], *key, e["off"], e["count"], raw[e["start"] : e["start"] + e["count"] - 1 + window], e["many"]))
+                for at in range(0, len(rows), 4096):
+                    part = rows[at : at + 4096]
+                    kinds = (*[pa.int64()] * 5, pa.binary(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], kind) for k, kind in enumerate(kinds)], names=[*_PIECE_COLUMNS, "many"])
+
+    return texts.join(lists.hint("shuffle_hash"), there).select("text", "wanted").mapInArrow(run, f"{_PIECE}, many boolean")
+
+
+def _likely(sums: np.ndarray, window: int, base: np.ndarray, off: np.ndarray, count: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, window number) of the windows that can repeat: their core, then their own hash, occurs again."""
+    low, high = (off - count + 1) // _CORE_BLOCK, off // _CORE_BLOCK
+    n = high - low + 1
+    piece = np.repeat(np.arange(len(n)), n)
+    block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[piece]
+    core = base[piece] + off[piece] - block * _CORE_BLOCK
+    hashes = span_hashes(sums, core, core - _CORE_BLOCK + 1 + window)
+    hashes = mix(hashes ^ mix(group[piece].astype(np.uint64) * np.uint64(4096) + block.astype(np.uint64)))
     _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
-    likely = times[which] > 1  # no other window can repeat; what can is ordered exactly
-    if not likely.any():
+    again = times[which] > 1
+    piece, block = piece[again], block[again]
+    top = np.minimum(off[piece], block * _CORE_BLOCK + _CORE_BLOCK - 1)
+    n = top - np.maximum(off[piece] - count[piece] + 1, block * _CORE_BLOCK) + 1
+    owner = np.repeat(piece, n)
+    place = np.repeat(off[piece] - top, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = base[owner] + place
+    _, which, times = np.unique(span_hashes(sums, start, start + window), return_inverse=True, return_counts=True)
+    again = times[which] > 1
+    order = np.lexsort((place[again], owner[again]))
+    return owner[again][order], place[again][order]
+
+
+def _repeats_of(batch: list[tuple], window: int) -> list[tuple[int, int, int, int]]:
+    """(c1, c2, high, low): runs of windows, by distance from the anchor, of each piece that are repeats within the batch."""
+    lengths = np.array([len(b[5]) for b in batch])
+    base = np.concatenate([[0], np.cumsum(lengths)])
+    data = np.frombuffer(b"".join(b[5] for b in batch), np.uint8)
+    off, count = np.array([b[3] for b in batch]), np.array([b[4] for b in batch])
+    group = np.cumsum(np.array([True] + [batch[i][0] != batch[i - 1][0] for i in range(1, len(batch))]))
+    own, at = _likely(prefix_hashes(data), window, base, off, count, group)  # no other window can repeat; these are ordered exactly
+    if not len(own):
         return []
-    kept = np.unique(owner[likely])
-    moved = np.concatenate([[0], np.cumsum(lengths[kept])])
-    renumbered = np.zeros(len(batch), np.int64)
-    renumbered[kept] = np.arange(len(kept))
-    text = np.concatenate([data[bounds[k] : bounds[k + 1]] for k in kept])
-    own = owner[likely]
-    repeat = repeated_starts(text, np.repeat(moved[1:], lengths[kept]), moved[renumbered[own]] + place[likely], window)
-    own, at = own[repeat], place[likely][repeat]
+    cut = np.ones(len(own), bool)
+    cut[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
+    first = np.flatnonzero(cut)
+    run = np.diff(np.append(first, len(own)))
+    begin = base[own[first]] + at[first]
+    text = np.concatenate([data[b : b + n - 1 + window] for b, n in zip(begin.tolist(), run.tolist(), strict=True)])
+    bounds = np.concatenate([[0], np.cumsum(run - 1 + window)])
+    starts = np.repeat(bounds[:-1], run) + np.arange(len(own)) - np.repeat(first, run)
+    repeat = repeated_starts(text, np.repeat(bounds[1:], run - 1 + window), starts, window)
+    own, at = own[repeat], at[repeat]
     if not len(own):
         return []
     cut = np.ones(len(own), bool)
     cut[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(cut)
     last = np.append(first[1:], len(own)) - 1
-    return [(batch[own[i]][0], batch[own[i]][1], int(at[i]), int(at[j])) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+    return [(batch[k][1], batch[k][2], int(off[k] - i), int(off[k] - j)) for k, i, j in zip(own[first].tolist(), at[first], at[last], strict=True)]
 
 
-def close_repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h, c, first, last) of contexts that share windows with other contexts of their anchor."""
+def close_repeats(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(c1, c2, high, low) of pieces that share windows with other pieces of their key h; at most ``MANY`` have one key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(pending):
             found = _repeats_of(pending, window) if len(pending) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], names=["h", "c", "first", "last"])
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], names=["c1", "c2", "high", "low"])
 
         pending, group, size = [], [], 0
         last = None
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("h", "c", "count", "bytes")), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in _PIECE_COLUMNS), strict=True):
                 if last is not None and row[0] != last[0]:
                     if len(group) > 1:
                         pending += group
-                        size += sum(len(g[3]) for g in group)
+                        size += sum(len(g[5]) for g in group)
                     group = []
                     if size >= BATCH_BYTES:
                         yield out(pending)
                         pending, size = [], 0
-                if last is None or row[:2] != last:
+                if row[:3] != last:
                     group.append(row)
-                last = row[:2]
+                last = row[:3]
         yield out(pending + group if len(group) > 1 else pending)
 
-    return rows.repartition("h").sortWithinPartitions("h", "c").mapInArrow(run, "h long, c long, first long, last long")
-
-
-def repeat_ranges(docs: DataFrame, window: int = WINDOW, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
-    """doc_id, text_id and ``ranges``: byte ranges of each text that repeats cover, not yet merged."""
-    table = materialize(anchor_table(docs, window))
-    kinds = materialize(table.groupBy("h", "c").agg(F.count("*").alias("n")))
-    variants = kinds.groupBy("h").agg(F.count("*").alias("v")).where("v > 1")
-    marks = materialize(variants)
-    close, hot = bitmap(marks), bitmap(marks.where(F.col("v") > hot_contexts))
-    rows = materialize(contexts(docs, close, hot, window))
-    found = close_repeats(rows.where("bytes is not null").select("h", "c", "count", "bytes"), window)
-    whole = kinds.where("n > 1").select("h", "c", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"))
-    by_context = materialize(found.unionByName(whole))
-    joined = table.join(by_context, ["h", "c"])
-    end = F.col("start") + F.when(F.col("last") < 0, F.col("count") - 1).otherwise(F.col("last")) + window
-    spans = joined.select("doc_id", "text_id", (F.col("start") + F.col("first")).alias("from"), end.alias("to"))
-    windows = rows.where("bytes is null").select("c", "h", "doc_id", "text_id", "start")
-    again = materialize(windows.groupBy("h", "c").agg(F.count("*").alias("n")).where("n > 1").select("h", "c"))
-    dense = windows.join(again, ["h", "c"]).select("doc_id", "text_id", F.col("start").alias("from"), (F.col("start") + window).alias("to"))
-    return spans.unionByName(dense).groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
-
-
-def merge_ranges(ranges: list) -> list[tuple[int, int]]:
-    """Ranges in order, with those that touch joined."""
-    out: list[tuple[int, int]] = []
-    for start, end in sorted((r["from"], r["to"]) for r in ranges):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((start, end))
-    return out
-
-
-def _with_ranges(docs: DataFrame, window: int) -> DataFrame:
-    """``docs`` with a column ``_ranges`` (null where nothing repeats)."""
-    ranges = materialize(repeat_ranges(docs, window)).withColumnsRenamed({"doc_id": "_range_doc", "text_id": "_range_text"})
+    return pieces.select(*_PIECE_COLUMNS).repartition("h").sortWithinPartitions("h", "c1", "c2").mapInArrow(run, "c1 long, c2 long, high long, low long")
+
+
+def split_pieces(pieces: DataFrame, size: int, window: int = WINDOW) -> DataFrame:
+    """Pieces cut into blocks of ``size`` windows: p1 p2 (what was cut), then a piece whose h names its block and core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch):
-                data, offsets = byte_view(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*part.columns, _long(_text_ids(data, offsets))], names=[*part.schema.names, "_text_id"])
+        from xxhash import xxh3_64_intdigest
 
-    named = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_text_id", LongType())]))
-    same = named["doc_id"].eqNullSafe(ranges["_range_doc"]) & (named["_text_id"] == ranges["_range_text"])
-    return named.join(ranges, same, "left").select(*[named[c] for c in docs.columns], ranges["ranges"].alias("_ranges"))
+        for batch in batches:
+            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
+                rows: list[tuple] = []
+                for _, c1, c2, off, count, raw in zip(*(part.column(k).to_pylist() for k in _PIECE_COLUMNS), strict=True):
+                    for block in range((off - count + 1) // size, off // size + 1):
+                        high, low = min(off, block * size + size - 1), max(off - count + 1, block * size)
+                        core = off - block * size
+                        key = xxh3_64_intdigest(raw[core : core - size + 1 + window], block)
+                        cut = raw[off - high : off - low + window]
+                        first, second = _digests(cut, [0], [len(cut)], [high * 1024 + high - low + 1])[0].view(np.int64).tolist()
+                        rows.append((c1, c2, key - (1 << 64) if key >= 1 << 63 else key, first, second, high, high - low + 1, cut))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k == 7 else pa.int64()) for k in range(8)], names=["p1", "p2", *_PIECE_COLUMNS])
+
+    return pieces.select(*_PIECE_COLUMNS).mapInArrow(run, f"p1 long, p2 long, {_PIECE}")
+
+
+def _several(kinds: DataFrame, many: int) -> DataFrame:
+    """The rows of ``kinds`` whose h has others, with ``many``: whether it has too many to gather."""
+    sized = materialize(kinds.groupBy("h").agg(F.count("*").alias("v")).where("v > 1").select(F.col("h").alias("of"), (F.col("v") > many).alias("many")))
+    return kinds.join(sized.hint("shuffle_hash"), kinds["h"] == sized["of"]).drop("of")
+
+
+def shared_windows(pieces: DataFrame, window: int = WINDOW, many: int = MANY) -> DataFrame:
+    """(c1, c2, high, low) of every piece that shares windows with others of its h; too many are split level by level."""
+    found = [materialize(close_repeats(pieces.where("not many"), window))]
+    edges = []
+    for size in SPLITS:
+        crowded = pieces.where("many")
+        if crowded.isEmpty():
+            break
+        cut = materialize(split_pieces(crowded, size, window))
+        kinds = materialize(cut.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.first("off").alias("off"), F.first("count").alias("count"), F.first("bytes").alias("bytes")))
+        edges.append(cut.select("p1", "p2", F.col("c1").alias("e1"), F.col("c2").alias("e2")))
+        pieces = materialize(_several(kinds, many if size > 1 else 1 << 62))
+        whole = kinds.where("n > 1").select("c1", "c2", F.col("off").alias("high"), (F.col("off") - F.col("count") + 1).alias("low"))
+        found.append(materialize(whole.unionByName(close_repeats(pieces.where("not many"), window))))
+    spans = found.pop()
+    while edges:
+        inner, above = spans, edges.pop()
+        raised = above.join(inner, (above["e1"] == inner["c1"]) & (above["e2"] == inner["c2"])).select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), "high", "low")
+        spans = found.pop().unionByName(raised)
+    return spans
+
+
+def repeat_ranges(docs: DataFrame, window: int = WINDOW, many: int = MANY, segment: int = SEGMENT) -> DataFrame:
+    """doc_id, text_id and ``ranges``: the maximal byte ranges of each text that repeats cover, in order."""
+    table = materialize(anchor_table(docs, window, segment))
+    firsts = [F.first(c).alias(c) for c in ("doc_id", "text_id", "start", "off", "count")]
+    kinds = materialize(table.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), *firsts))
+    pieces = materialize(context_bytes(docs, _several(kinds, many), window))
+    whole = kinds.where("n > 1").select("c1", "c2", F.col("off").alias("high"), (F.col("off") - F.col("count") + 1).alias("low"))
+    shared = materialize(shared_windows(pieces, window, many).unionByName(whole).distinct()).withColumnsRenamed({"c1": "s1", "c2": "s2"})
+    joined = table.join(shared, (table["c1"] == shared["s1"]) & (table["c2"] == shared["s2"]))
+    spans = joined.select("doc_id", "text_id", (F.col("start") + F.col("off") - F.col("high")).alias("from"), (F.col("start") + F.col("off") - F.col("low") + window).alias("to"))
+    # runs of ranges that touch become one: a text then has at most one for every window of its length
+    ordered = Window.partitionBy("doc_id", "text_id").orderBy("from", "to")
+    before = F.max("to").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.distinct().withColumn("new", F.when(F.col("from") <= before, 0).otherwise(1))
+    numbered = opened.withColumn("run", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = numbered.groupBy("doc_id", "text_id", "run").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    return merged.groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("ranges"))
+
+
+def _with_ranges(docs: DataFrame, window: int) -> tuple[DataFrame, str]:
+    """``docs`` with a further column of ranges (null where nothing repeats), and that column's name."""
+    doc, text, name = fresh(docs.columns, "in_doc", "in_text", "ranges")
+    ranges = materialize(repeat_ranges(docs, window)).toDF(doc, text, name)
+    there = docs["doc_id"].cast("long").eqNullSafe(ranges[doc]) & (F.xxhash64(docs["text"].cast("string")) == ranges[text])
+    return docs.join(ranges.hint("shuffle_hash"), there, "left").drop(doc, text), name
 
 
 def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -386,34 +425,41 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+def _pairs(ranges: pa.Scalar) -> list[tuple[int, int]]:
+    return [(r["from"], r["to"]) for r in ranges.as_py()]
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 with every byte removed that a repeat covers."""
+    joined, name = _with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, removed, n_spans, digests = [], [], [], []
-            for text, ranges in zip(batch.column("text"), batch.column("_ranges"), strict=True):
+            for text, ranges in zip(batch.column("text"), batch.column(name), strict=True):
                 raw = (text.as_py() or "").encode()
-                spans = merge_ranges(ranges.as_py()) if ranges.is_valid else []
+                spans = _pairs(ranges) if ranges.is_valid else []
                 n_bytes.append(len(raw))
                 removed.append(sum(e - s for s, e in spans))
                 n_spans.append(len(spans))
                 digests.append(hashlib.sha256(_kept(raw, spans)).hexdigest())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
-    return _with_ranges(_texts(docs), window).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The columns of ``docs`` with repeats cut from ``text``; bytes of characters cut in two are dropped as well."""
+    joined, name = _with_ranges(docs, window)
+    columns, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, ranges in zip(batch.column("text"), batch.column("_ranges"), strict=True):
+            for text, ranges in zip(batch.column("text"), batch.column(name), strict=True):
                 value = text.as_py()
-                texts.append(value if value is None or not ranges.is_valid else _kept(value.encode(), merge_ranges(ranges.as_py())).decode("utf-8", "ignore"))
+                texts.append(value if value is None or not ranges.is_valid else _kept(value.encode(), _pairs(ranges)).decode("utf-8", "ignore"))
             whole = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-            yield whole.select([n for n in whole.schema.names if n != "_ranges"])
+            yield whole.select(columns)
 
-    return _with_ranges(docs, window).mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, schema)

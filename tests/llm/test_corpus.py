@@ -205,8 +205,8 @@ def plain_removed(texts, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [substrings.HOT_CONTEXTS, 2])
-def test_repeats_against_brute_force(spark, hot):
+@pytest.mark.parametrize("many, segment", [(substrings.MANY, substrings.SEGMENT), (2, 500)])
+def test_repeats_against_brute_force(spark, monkeypatch, many, segment):
     rng = random.Random(8)
     word = lambda n: " ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 7))) for _ in range(n))
     passages = [word(150) for _ in range(4)]
@@ -220,11 +220,8 @@ def test_repeats_against_brute_force(spark, hot):
     ids = [None, *range(1, len(texts))]
     docs = table(spark, texts, ids)
     ranges = substrings.repeat_ranges
-    try:
-        substrings.repeat_ranges = lambda d, w: ranges(d, w, hot)
-        got = Counter(map(tuple, substrings.remove_repeats(docs).collect()))
-    finally:
-        substrings.repeat_ranges = ranges
+    monkeypatch.setattr(substrings, "repeat_ranges", lambda d, w: ranges(d, w, many, segment))
+    got = Counter(map(tuple, substrings.remove_repeats(docs).collect()))
     assert got == Counter((i, *rest) for i, rest in zip(ids, plain_removed(texts, 400), strict=True))
 
 
@@ -244,8 +241,6 @@ def test_factors_against_brute_force():
         data = np.frombuffer(text, np.uint8)
         order, _ = substrings.suffix_order(data)
         assert order.tolist() == sorted(range(n), key=lambda i: text[i:])
-        lcp = substrings.common_prefixes(data, order, np.full(n, n), n)
-        previous, following = substrings.factor_lengths(order, lcp)
 
         def common(i, j, text=text):
             k = 0
@@ -253,6 +248,8 @@ def test_factors_against_brute_force():
                 k += 1
             return k
 
+        lcp = np.array([0, *map(common, order[:-1].tolist(), order[1:].tolist())])
+        previous, following = substrings.factor_lengths(order, lcp)
         assert previous.tolist() == [max((common(i, j) for j in range(i)), default=0) for i in range(n)]
         assert following.tolist() == [max((common(i, j) for j in range(i + 1, n)), default=0) for i in range(n)]
         for window in (1, 3, 8):
