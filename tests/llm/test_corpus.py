@@ -88,14 +88,15 @@ def test_near_duplicates_against_all_pairs(spark):
     assert simhash.near_duplicates(table(spark, texts).where("false")).count() == 0
 
 
-def test_fingerprint_links_are_exact(spark):
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 1])
+def test_fingerprint_links_are_exact(spark, bucket):
     rng = random.Random(9)
     seeds = [rng.getrandbits(64) for _ in range(20)]
     prints = list({s ^ (1 << a) ^ (1 << b) ^ (1 << c) for s in seeds for a, b, c in [[rng.randrange(64) for _ in range(3)] for _ in range(25)]} | set(seeds))
     frame = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "doc_id long, fp long")
     edges = [(a, b) for a, b in itertools.combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= 2]
     want = groups(range(len(prints)), edges)
-    got = {r.fp % (1 << 64): r.component_id for r in simhash.fingerprint_components(frame).collect()}
+    got = {r.fp % (1 << 64): r.component_id for r in simhash.fingerprint_components(frame, bucket).collect()}
     assert got == {p: want[i] for i, p in enumerate(prints)}
 
 
@@ -105,6 +106,32 @@ def test_one_document_of_a_group_stays(spark):
     assert simhash.drop_near_duplicates(docs).columns == docs.columns
 
 
+def test_similar_documents_against_all_pairs(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(500)]
+    base = [rng.choices(vocabulary, k=rng.randint(60, 300)) for _ in range(30)]
+    texts = [None, "", "one", "one two", "ONE two", " ".join(vocabulary * 20)]
+    for words in base:
+        texts.append(" ".join(words))
+        for edits in (1, 1, 2, 30):
+            copy = list(words)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = "changed"
+            texts.append("\n".join(copy))
+    ids = [None if i % 17 == 3 else 1000 - i for i in range(len(texts))]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    edges = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    members = defaultdict(list)
+    for at, root in groups(range(len(texts)), edges).items():
+        members[root].append(at)
+    want = {min((ids[i] is None, ids[i] or 0, hashlib.md5((texts[i] or "").encode()).hexdigest()) for i in group) for group in members.values()}
+    got = [(r.doc_id is None, r.doc_id or 0, hashlib.md5((r.text or "").encode()).hexdigest()) for r in simhash.drop_near_duplicates(table(spark, texts, ids)).collect()]
+    assert len(got) == len(set(got)) and want <= set(got) and len(got) - len(want) <= 0.05 * (len(texts) - len(want))
+    again = table(spark, ["same text"] * 5 + [None, None, ""], [4, 4, 2, 2, None, 6, 6, 7])
+    assert sorted((r.doc_id, r.text) for r in simhash.drop_near_duplicates(again).collect() if r.text is not None) == [(2, "same text"), (7, "")]
+    assert simhash.drop_near_duplicates(again).count() == 4 and simhash.drop_near_duplicates(again.where("false")).count() == 0
+
+
 # --- exact search -----------------------------------------------------------------
 
 
