@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -99,13 +101,21 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str | Column] = (ROWNUM,), keep_null_keys: bool = True) -> DataFrame:
-    """The first row of each key; rows with a null in the key are all kept, or count as equal keys."""
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    first = F.col("_nth") == 1
+    """The first row of each key; rows with a null in the key are all kept, or count as equal keys.
+
+    Kept rows go round the window: they share no key, and a window would put
+    them all in one task.
+    """
+    number = "_nth"
+    while number in map(str.lower, df.columns):
+        number += "_"
+    whole = df
     if keep_null_keys:
-        for c in key:
-            first = first | F.col(c).isNull()
-    return df.withColumn("_nth", nth).where(first).drop("_nth")
+        incomplete = reduce(or_, [F.col(c).isNull() for c in key])
+        whole = df.where(~incomplete)
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    first = whole.withColumn(number, nth).where(F.col(number) == 1).drop(number)
+    return first.unionByName(df.where(incomplete)) if keep_null_keys else first
 
 
 def sorted_by_key(df: DataFrame, key: Sequence[str]) -> DataFrame:

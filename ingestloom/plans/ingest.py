@@ -21,11 +21,12 @@ log = logging.getLogger(__name__)
 
 @dataclass
 class LoadResult:
-    """Rows staged (not merged), failed casts, rows dropped for nulls, and seconds of each phase."""
+    """Rows staged (not merged), failed casts, rows dropped for nulls, malformed rows left out, and seconds of each phase."""
 
     rows: int = 0
     stats: quality.CastStats | None = None
     nulls: dict[str, int] = field(default_factory=dict)
+    malformed: int = 0
     phases: dict[str, float] = field(default_factory=dict)
 
     @contextmanager
@@ -82,6 +83,9 @@ def load_file(spark: SparkSession, store: VersionedStore, model: TableModel, pat
     with bulk_load(store, opts.staging_name, f"{opts.staging_name}_cast"):
         with result.phase("stage"):
             staged = _stage(spark, store, loader, opts, result)
+            result.malformed = getattr(loader, "malformed", 0)
+            if result.malformed:
+                log.warning("%s: %d malformed rows left out", model.name, result.malformed)
         if result.rows == 0:
             return result
         with result.phase("merge"):

@@ -18,7 +18,8 @@ from ingestloom.plans.store import VersionedStore
 from ingestloom.plans.views import MaterializedView, ViewStore
 from ingestloom.registry import validators
 from ingestloom.registry.specs import FieldSpec, ModelCatalog
-from ingestloom.sources.readers import LoadOptions
+from ingestloom.sources.readers import ROWNUM, LoadOptions, ParquetLoader
+from ingestloom.streaming.landing import watch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -71,8 +72,70 @@ def load_tsv_literal_quotes(spark, sf_dir):
 
 def _write_lines(rows: DataFrame, header: str, folder: str) -> None:
     """One line a row, each file under the header."""
-    text = rows.groupBy(F.spark_partition_id()).agg(F.concat_ws("\n", F.lit(header), F.collect_list("value")).alias("value"))
-    text.select("value").write.text(folder)
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the partition, so within the file
+    lines = F.when(F.col("number") == 0, F.array(F.lit(header), F.col("value"))).otherwise(F.array("value"))
+    rows.select("value", number.alias("number")).select(F.explode(lines).alias("value")).write.text(folder)
+
+
+@query(
+    """select c_custkey, case when c_custkey = (select max(c_custkey) from customer) then c_name || ' "x"' || chr(10) || 'end' else c_name end as c_name,
+ left(c_mktsegment, 8) as c_mktsegment from customer"""
+)
+def load_csv_late_quote(spark, sf_dir):
+    """The only quotes, and a line end inside them, are in the last row of the file."""
+    folder = f"{scratch_folder(spark)}/customer.csv"
+    customers = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    last = customers.agg(F.max("c_custkey").alias("last"))
+    name = F.when(F.col("c_custkey") == F.col("last"), F.concat("c_name", F.lit(' "x"\nend'))).otherwise(F.col("c_name"))
+    rows = customers.join(F.broadcast(last)).select("c_custkey", name.alias("c_name"), "c_mktsegment")  # one row is joined
+    rows.write.option("header", True).option("escape", '"').csv(folder)
+    model = TableModel("customer", tuple(c for c in CUSTOMER.columns if c.name != "c_nationkey"), ("c_custkey",))
+    return staging_rows(spark, LoadOptions(model, folder, quote_mode="csv"))
+
+
+@query("select c_custkey, c_name, left(c_mktsegment, 8) as c_mktsegment from customer where c_custkey % 7 <> 0 and c_custkey % 11 <> 0")
+def load_csv_malformed(spark, sf_dir):
+    """Rows of too many and of too few fields are left out and counted."""
+    folder = f"{scratch_folder(spark)}/customer.csv"
+    key = F.col("c_custkey").cast("string")
+    whole = F.concat_ws(",", key, "c_name", "c_mktsegment")
+    line = F.when(F.col("c_custkey") % 7 == 0, F.concat(whole, F.lit(",more"))).when(F.col("c_custkey") % 11 == 0, F.concat_ws(",", key, "c_name")).otherwise(whole)
+    _write_lines(_t(spark, sf_dir, "customer").select(line.alias("value")), "c_custkey,c_name,c_mktsegment", folder)
+    model = TableModel("customer", tuple(c for c in CUSTOMER.columns if c.name != "c_nationkey"), ("c_custkey",))
+    return quality.cast_rows(ParquetLoader().read(spark, LoadOptions(model, folder)), model, track=False).drop(ROWNUM)
+
+
+@query("select c_custkey, c_name, left(c_mktsegment, 8) as c_mktsegment from customer")
+def load_csv_quoted_header(spark, sf_dir):
+    """A quoted header name that holds the delimiter shifts no column."""
+    folder = f"{scratch_folder(spark)}/customer.csv"
+    line = F.concat_ws(",", F.lit("aside"), F.col("c_custkey").cast("string"), "c_name", "c_mktsegment")
+    _write_lines(_t(spark, sf_dir, "customer").select(line.alias("value")), '"not, wanted",C_CUSTKEY,"c_name",c_mktsegment_hash', folder)
+    model = TableModel("customer", tuple(c for c in CUSTOMER.columns if c.name != "c_nationkey"), ("c_custkey",))
+    return staging_rows(spark, LoadOptions(model, folder, quote_mode="csv"))
+
+
+@query("select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, left(c_mktsegment, 8) as c_mktsegment from customer")
+def load_csv_fast(spark, sf_dir):
+    """The fast path: no null words, no rules, no de-duplication."""
+    root = scratch_folder(spark)
+    _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").write.option("header", True).csv(f"{root}/in/customer.csv")
+    store = VersionedStore(spark, f"{root}/tables")
+    load_file(spark, store, CUSTOMER, f"{root}/in/customer.csv", fast=True)
+    return store.read(CUSTOMER).select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+
+
+@query("select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, left(c_mktsegment, 8) as c_mktsegment from customer")
+def stream_landing_reordered(spark, sf_dir):
+    """Files of a landing folder in two orders of columns, one with a null key; merged by a stream."""
+    root = scratch_folder(spark)
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    rows.where("c_custkey % 2 = 0").write.option("header", True).csv(f"{root}/in/a")
+    odd = rows.where("c_custkey % 2 = 1").select("c_mktsegment", "c_nationkey", F.upper("c_name").alias("unused"), "c_custkey", F.col("c_name").alias("C_NAME_hash"))
+    odd.unionByName(odd.limit(1).withColumn("c_custkey", F.lit(None))).write.option("header", True).csv(f"{root}/in/b")
+    store = VersionedStore(spark, f"{root}/tables")
+    watch(spark, store, CUSTOMER, f"{root}/in/*/*.csv", f"{root}/checkpoint").awaitTermination()
+    return store.read(CUSTOMER).select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
 
 
 @query("select p_partkey, p_name, p_brand, cast(p_size as bigint) as p_size from part")
@@ -502,3 +565,27 @@ def mv_on_mv(spark, sf_dir):
 @query("select cast(ts as date) as day, count(*) as n_events from events group by all order by n_events desc, day limit 5")
 def mv_top_days(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n_events")).orderBy(F.desc("n_events"), "day").limit(5)
+
+
+_STAMPS = """case event_id % 6 when 0 then date_format(ts, 'HH:mm:ss yyyy-MM-dd') when 1 then date_format(ts, 'yyyy-MM-dd H:mm') when 2 then date_format(ts, "yyyy-MM-dd, 'at' HH:mm:ss")
+ when 3 then date_format(ts, 'yyyy/MM/dd HH:mm') when 4 then date_format(ts, 'yyyy-MM-dd hh:mm a') else date_format(ts, 'yyyy-MM-dd') || ' at noon' end"""
+
+
+@query("select event_id, case when event_id % 6 in (0, 2) then date_trunc('second', ts) when event_id % 6 in (1, 4) then date_trunc('minute', ts) end as v from events")
+def cast_datetime_layouts(spark, sf_dir):
+    """The further layouts that a date-time may have."""
+    value, _ = casting.cast_column(F.col("s"), ColumnModel("s", "datetime"))
+    return _t(spark, sf_dir, "events").select("event_id", F.expr(_STAMPS).alias("s")).select("event_id", value.alias("v"))
+
+
+@query(
+    _WITH_MESSY
+    + f""", f as (select o_orderkey, s from m where {_NOT_NULL} and not (regexp_matches(trim(s), '^[+-]?\\d+(\\.0+)?$')))
+ select s as example, cast(row_number() over (order by o_orderkey) as integer) as nth from f order by o_orderkey limit 3"""
+)
+def cast_failure_examples(spark, sf_dir):
+    """The first inputs that failed a cast, in order."""
+    model = TableModel("m", (ColumnModel("s", "integer"),), ())
+    cast = quality.cast_rows(_messy(spark, sf_dir).withColumn(ROWNUM, F.col("o_orderkey")), model)
+    found = quality.failure_examples(cast, "s")
+    return spark.createDataFrame([(x, n) for n, x in enumerate(found, 1)], "example string, nth int")

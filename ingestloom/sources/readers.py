@@ -6,13 +6,15 @@ number that grows in file order within and across splits.
 
 from __future__ import annotations
 
+import csv
+import io
 import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +33,7 @@ class LoadOptions:
     """How a file is loaded into a table."""
 
     model: TableModel
-    path: str
+    path: str | list[str]
     normalise: bool = True
     dedupe: bool = False
     quote_mode: str = "auto"
@@ -91,14 +93,22 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 
 class CsvLoader:
-    """Delimited text: sniffed, read as strings, malformed rows counted and dropped.
+    """Delimited text: sniffed and read as strings.
 
-    Embedded line ends need a reader that does not split files, so it is used
+    With ``drop_malformed`` rows of more or fewer fields than the header are
+    left out; ``malformed`` says how many once an action has read the rows.
+    Files of a folder share one header. Embedded line ends need a reader that does not split files, so it is used
     only where some line of any file holds a quote and quotes are not literal.
     """
 
     def __init__(self, drop_malformed: bool = False):
         self.drop_malformed = drop_malformed
+        self._seen: Observation | None = None
+
+    @property
+    def malformed(self) -> int:
+        """Rows left out by the last read, after an action on them."""
+        return self._seen.get["malformed"] if self._seen is not None else 0
 
     def header(self, spark: SparkSession, options: LoadOptions) -> tuple[list[str], str, str, str, bytes]:
         """(normalised header, delimiter, encoding, quote mode, head)."""
@@ -106,8 +116,9 @@ class CsvLoader:
         encoding = options.encoding or sniff.infer_encoding(head)
         delimiter = options.delimiter or sniff.infer_delimiter(head, encoding)
         mode = sniff.resolve_quote_mode(options.quote_mode, head, delimiter, encoding)
-        first = head.decode(encoding, "replace").lstrip("﻿").splitlines()[:1]
-        return normalise_header(first[0].split(delimiter)) if first else [], delimiter, encoding, mode, head
+        text = head.decode(encoding, "replace").lstrip("\ufeff")
+        first = next(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, quoting=csv.QUOTE_NONE if mode == "literal" else csv.QUOTE_MINIMAL), [])
+        return normalise_header(first), delimiter, encoding, mode, head
 
     def read_text(self, spark: SparkSession, options: LoadOptions) -> DataFrame:
         """All columns of the file as strings, with ``_rownum``."""
@@ -125,6 +136,8 @@ class CsvLoader:
             reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
         df = _numbered(reader.schema(schema).csv(options.path))
         if self.drop_malformed:
+            self._seen = Observation()
+            df = df.observe(self._seen, F.count_if(F.col(CORRUPT).isNotNull()).alias("malformed"))
             df = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
         return df
 
@@ -136,10 +149,18 @@ class CsvLoader:
 class ParquetLoader:
     """Parquet files; delimited text by its suffix; nothing else."""
 
+    def __init__(self):
+        self._text: CsvLoader | None = None
+
+    @property
+    def malformed(self) -> int:
+        return self._text.malformed if self._text else 0
+
     def read(self, spark: SparkSession, options: LoadOptions) -> DataFrame:
         suffix = PurePosixPath(options.path).suffix.lower()
         if suffix in (".csv", ".tsv"):
-            return CsvLoader(drop_malformed=True).read(spark, options)
+            self._text = CsvLoader(drop_malformed=True)
+            return self._text.read(spark, options)
         if suffix != ".parquet":
             raise ValueError(f"Unsupported file type: {suffix or options.path}")
         df = spark.read.parquet(options.path)

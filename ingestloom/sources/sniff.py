@@ -24,7 +24,7 @@ QUOTE_BYTES = 4 << 20
 QUOTE_MODES = ("auto", "csv", "literal", "by_delimiter")
 
 
-def read_head(spark: SparkSession, path: str, limit: int = QUOTE_BYTES) -> bytes:
+def read_head(spark: SparkSession, path: str | list[str], limit: int = QUOTE_BYTES) -> bytes:
     """The first bytes of a file; of a folder, of its first file in name order."""
     rows = spark.read.format("binaryFile").load(path).select("path", "length").orderBy("path").limit(1).collect()
     if not rows or not rows[0]["length"]:
@@ -38,7 +38,7 @@ def read_head(spark: SparkSession, path: str, limit: int = QUOTE_BYTES) -> bytes
         stream.close()
 
 
-def has_quote(spark: SparkSession, path: str) -> bool:
+def has_quote(spark: SparkSession, path: str | list[str]) -> bool:
     """Whether a line of any of the files holds a quote; a distributed scan that ends at the first one.
 
     The parity of a line's quotes would not do: one inside an unquoted value is plain text.

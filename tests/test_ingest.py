@@ -127,7 +127,7 @@ def test_bootstrap_and_ids(spark, store):
 def test_landing_folder(spark, store, tmp_path):
     folder = tmp_path / "landing"
     folder.mkdir()
-    (folder / "a.csv").write_text("id,name\n1,a\n2,\n")
+    (folder / "a.csv").write_text("name,more,id\na,x,1\n,x,2\nno key,x,\n")
     for _ in range(2):
         watch(spark, store, TABLE, str(folder), str(tmp_path / "checkpoint")).awaitTermination(120)
         (folder / "b.csv").write_text("id,name\n1,changed\n3,c\n")
