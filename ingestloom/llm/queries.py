@@ -51,9 +51,11 @@ def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from ingestloom.llm.secrets import scan_secrets
 
-    return scan_secrets(_table(spark, sf_dir, "documents"))
+    return scan_secrets(_table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,16 +8,20 @@ and brute-force spans, by dynamic programming over end positions.
 
 Defined results: null text is empty; a text without spans has the digest of the
 empty string. Offsets are code points, ends exclusive. Whole texts and whole
-values are processed; the dynamic programme takes time in proportion to the
-value's length. Repeated rows give repeated results; extra columns are dropped.
+values are processed, very long ones as well; the dynamic programme takes time in
+proportion to the value's length. Repeated rows give repeated results. Extra
+columns, whatever their names, are dropped by ``scan_secrets`` and kept by
+``redact_secrets``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +42,7 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 
 _CONTEXT_WORDS = ("pass", "pwd", "credential", "secret", "access", "private", "auth", "bearer", "login", "token", "api")
 _CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|credentials?|(?:client[_-]?)?secret|(?:access|private|api)[_-]?key|auth(?:orization)?(?:[_-]?(?:token|key))?|bearer|login|token)["']?(?:\x20*[:=]\x20*|\x20+is\x20+|\x20+)["']?([^\s"'<>,;]{8,})""",
+    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|credentials?|secret(?:[_-]?access)?[_-]?key|(?:client[_-]?)?secret|(?:access|private|api)[_-]?key|auth(?:orization)?(?:[_-]?(?:token|key))?|bearer|login|token)["']?(?:\x20*[:=]\x20*|\x20+is\x20+|\x20+)["']?([^\s"'<>,;]{8,})""",
     re.ASCII | re.IGNORECASE,
 )
 
@@ -53,9 +57,14 @@ purple yellow silver golden diamond phoenix thunder lightning tiger eagle falcon
 KEYBOARD_ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LOOKALIKES = {"@": "a", "4": "a", "3": "e", "1": "l", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t"}
 
-_RANKS = {word: rank for rank, word in enumerate(COMMON_WORDS, 1)}
-_LENGTHS = sorted({len(word) for word in COMMON_WORDS})
-_DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
+_COMMON = {word: rank for rank, word in enumerate(COMMON_WORDS, 1)}
+#: Letters of a vocabulary word at least, and of any word at most.
+_WORD_LETTERS = (4, 24)
+_YEAR, _MONTH, _DAY = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+#: Each date at each place: look-ahead, so that matches may overlap, and one pattern for each form.
+_DATES = tuple((re.compile(f"(?=({form}))"), math.log10(guesses)) for form, guesses in ((rf"{_YEAR}([-/._]?){_MONTH}\2{_DAY}", 365 * 120), (rf"{_DAY}([-/._]?){_MONTH}\2{_YEAR}", 365 * 120), (_YEAR, 120)))
+#: Parts of a run (repeat, walk, sequence) of up to so many characters are all tried; of a longer one what starts where it does.
+RUN_PARTS = 64
 
 
 def _neighbours() -> set[tuple[str, str]]:
@@ -67,6 +76,22 @@ def _neighbours() -> set[tuple[str, str]]:
 _TOUCH = _neighbours()
 
 
+@lru_cache(maxsize=4)
+def vocabulary_words(path: str) -> Mapping[str, int]:
+    """Words and ranks: the common ones, then the words of a rank file (``base64(token) rank`` a line) in its order.
+
+    Ranks of a trained vocabulary grow as words get rarer, so they stand for the
+    order in which a guesser would try them.
+    """
+    words = dict(_COMMON)
+    with open(path, "rb") as file:
+        for line in filter(bytes.strip, file):
+            word = base64.b64decode(line.split()[0]).strip().lower()
+            if _WORD_LETTERS[0] <= len(word) <= _WORD_LETTERS[1] and word.isalpha() and (spelled := word.decode("ascii", "ignore")):
+                words.setdefault(spelled, len(words) + 1)
+    return words
+
+
 def _alphabet(value: str) -> int:
     """Size of the alphabet that a guesser would try, from the classes of the value's characters."""
     classes = ((str.islower, 26), (str.isupper, 26), (str.isdigit, 10))
@@ -74,24 +99,23 @@ def _alphabet(value: str) -> int:
     return size + (33 if any(not c.isalnum() for c in value) else 0) or 10
 
 
-def _segments(value: str) -> list[list[tuple[int, float]]]:
+def _segments(value: str, words: Mapping[str, int] = _COMMON) -> list[list[tuple[int, float]]]:
     """For each end position the (start, log10 guesses) of patterns that end there."""
-    n, low = len(value), value.lower()
+    n, low, per_character = len(value), value.lower(), math.log10(_alphabet(value))
     plain = "".join(LOOKALIKES.get(c, c) for c in low)
     ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for start in range(n):
-        for length in _LENGTHS:
-            if start + length > n:
-                break
+        for length in range(3, min(_WORD_LETTERS[1], n - start) + 1):
             for spelled, times in ((low, 1), (plain, 4)):
-                if (rank := _RANKS.get(spelled[start : start + length])) is not None:
+                if (rank := words.get(spelled[start : start + length])) is not None:
                     upper = 1 if value[start : start + length] == low[start : start + length] else 4
                     ending[start + length].append((start, math.log10(rank * times * upper + 1)))
-    for match in _DATE.finditer(value):
-        ending[match.end()].append((match.start(), math.log10(365 * 120 if len(match[0]) > 4 else 120)))
+    for form, guesses in _DATES:
+        for match in form.finditer(value):
+            ending[match.end(1)].append((match.start(1), guesses))
     # runs with a period of one to four characters, walks over touching keys, and steps through the alphabet
     for period in range(1, 5):
-        _runs(ending, n, lambda i, p=period: i >= p and value[i] == value[i - p], 2 * period, lambda k, p=period: p * math.log10(_alphabet(value)) + math.log10(k), lead=period)
+        _runs(ending, n, lambda i, p=period: i >= p and value[i] == value[i - p], 2 * period, lambda k, p=period: p * per_character + math.log10(k), lead=period)
     _runs(ending, n, lambda i: i > 0 and (low[i - 1], low[i]) in _TOUCH, 4, lambda k: math.log10(47) + k * math.log10(3))
     for step in (1, -1):
         _runs(ending, n, lambda i, s=step: i > 0 and ord(low[i]) - ord(low[i - 1]) == s, 3, lambda k: math.log10(26 * k))
@@ -99,21 +123,22 @@ def _segments(value: str) -> list[list[tuple[int, float]]]:
 
 
 def _runs(ending, n, goes_on, least, cost, lead=1) -> None:
-    """Adds maximal runs of positions that go on from the one before, ``lead`` positions earlier."""
+    """Adds runs of positions that go on from the one before, ``lead`` positions earlier, and their parts."""
     start = None
-    for i in range(n + 1):
-        if i < n and goes_on(i):
-            start = i - lead if start is None else start
-        elif start is not None:
-            if i - start >= least:
-                ending[i].append((start, cost(i - start)))
+    for i in range(n):
+        if not goes_on(i):
             start = None
+            continue
+        start = i - lead if start is None else start
+        for begin in {start, *range(max(start, i + 1 - RUN_PARTS), i + 2 - least)}:
+            if i + 1 - begin >= least:
+                ending[i + 1].append((begin, cost(i + 1 - begin)))
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Mapping[str, int] = _COMMON) -> float:
     """log10 of the guesses for the cheapest segmentation of ``value``."""
     n, per_character = len(value), math.log10(_alphabet(value))
-    ending = _segments(value)
+    ending = _segments(value, words)
     infinity = float("inf")
     brute, closed = [infinity] * (n + 1), [infinity] * (n + 1)  # cheapest with and without a brute-force span at the end
     closed[0] = 0.0
@@ -124,7 +149,7 @@ def guess_cost(value: str) -> float:
     return min(brute[n], closed[n])
 
 
-def find_secrets(text: str | None, threshold: float = MIN_LOG10_GUESSES) -> list[tuple[int, int, int]]:
+def find_secrets(text: str | None, threshold: float = MIN_LOG10_GUESSES, words: Mapping[str, int] = _COMMON) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of all spans, in order."""
     if not text:
         return []
@@ -136,28 +161,38 @@ def find_secrets(text: str | None, threshold: float = MIN_LOG10_GUESSES) -> list
         spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if any(word in low for word in _CONTEXT_WORDS):
-        base = list(spans)
-        for m in _CONTEXT.finditer(text):
+        base, at = list(spans), 0
+        while (m := _CONTEXT.search(text, at)) is not None:
             value = m[1].rstrip(".!?:)]}#&%*")
             start, end = m.start(1), m.start(1) + len(value)
+            at = start  # a rejected value may hold the name of the next one
             if len(value) < 8 or not any(map(str.isdigit, value)) or not any(map(str.isalpha, value)):
                 continue
-            if all(end <= s or e <= start for s, _, e in base) and guess_cost(value) >= threshold:
+            if not _meets(base, start, end) and guess_cost(value, words) >= threshold:
                 spans.append((start, 3, end))
+                at = end
     return sorted(spans)
 
 
+def _meets(spans: list[tuple[int, int, int]], start: int, end: int) -> bool:
+    return any(s < end and start < e for s, _, e in spans)
+
+
 def _spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def scan_secrets(docs: DataFrame, threshold: float = MIN_LOG10_GUESSES) -> DataFrame:
-    """doc_id, counts of base kinds and of guessed ones, digest of the base spans, and all spans."""
+def scan_secrets(docs: DataFrame, threshold: float = MIN_LOG10_GUESSES, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, counts of base kinds and of guessed ones, digest of the base spans, and all spans.
+
+    ``vocabulary`` is the rank file whose words the guesser knows besides the common ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary_words(vocabulary) if vocabulary else _COMMON
         for batch in batches:
             for part in blocks(batch):
-                found = [find_secrets(t.as_py(), threshold) for t in part.column("text")]
+                found = [find_secrets(t.as_py(), threshold, words) for t in part.column("text")]
                 counts = {f"n_{kind}": pa.array([sum(s[1] == k for s in spans) for spans in found], pa.int64()) for k, kind in enumerate(KINDS)}
                 digest = [hashlib.sha256(_spell([s for s in spans if s[1] < 3]).encode()).hexdigest() for spans in found]
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), **counts, "base_sha256": pa.array(digest, pa.string()), "spans": pa.array(list(map(_spell, found)), pa.string())})
