@@ -7,10 +7,14 @@ decides whether it stays. The field is trained on a bounded sample of labelled
 documents: lines of good documents are content, lines of poor ones boilerplate
 at first, and two rounds of decoding let poor documents have content lines.
 
+Training reads whole texts of the sampled documents. Very long line sequences
+are fitted in segments of ``SEGMENT_LINES``, none left out.
+
 Defined results: null text has no words and fails. Lines without words have no
 label and no weight; a document that does not fail has words. Documents of any
 length are decoded whole. Without labels of both kinds every line is content.
-Repeated rows give repeated results. An empty table gives an empty result.
+Repeated rows give repeated results; extra columns, whatever their names, are
+dropped. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from ingestloom.llm.bytesview import blocks
 
 #: Labelled documents fitted on, at most: those with the least hashes, as many of either kind.
 MAX_LABELLED = 1_200
-#: Lines of one training document, at most.
-MAX_LINES = 60
+#: Lines of a training sequence; longer documents give several.
+SEGMENT_LINES = 64
 #: Share of words in content lines from which a document stays.
 CONTENT_SHARE = 0.5
 MIN_WORDS = 50
@@ -173,31 +177,33 @@ class LineCRF:
         return float(sizes[self.viterbi(features) == 0].sum() / sizes.sum())
 
 
-def train(good: list[bytes], poor: list[bytes], rounds: int = 2) -> LineCRF:
-    """A field fitted on texts of good and of poor documents."""
+def train(good: list[np.ndarray], poor: list[np.ndarray], rounds: int = 2) -> LineCRF:
+    """A field fitted on the line features of good and of poor documents."""
     crf = LineCRF()
-    sequences, kinds = [], []
-    for kind, texts in ((0, good), (1, poor)):
-        for text in texts:
-            features, _ = line_features([line.split() for line in text.split(b"\n")])
+    sequences, owners, kinds = [], [], []
+    for kind, some in ((0, good), (1, poor)):
+        for features in some:
             if len(features):
-                sequences.append(features[:MAX_LINES])
+                parts = np.array_split(features, -(-len(features) // SEGMENT_LINES))
+                sequences += parts
+                owners += [len(kinds)] * len(parts)
                 kinds.append(kind)
     if len(set(kinds)) < 2:
         return crf
-    states = [np.full(len(s), kind) for s, kind in zip(sequences, kinds, strict=True)]
+    states = [np.full(len(s), kinds[o]) for s, o in zip(sequences, owners, strict=True)]
     for turn in range(rounds + 1):
         crf.fit(sequences, states)
         if turn < rounds:
-            states = [crf.viterbi(s) if kind else np.zeros(len(s), np.int64) for s, kind in zip(sequences, kinds, strict=True)]
-            for i, kind in enumerate(kinds):  # a poor document has some boilerplate
-                if kind and not states[i].any():
+            states = [crf.viterbi(s) if kinds[o] else np.zeros(len(s), np.int64) for s, o in zip(sequences, owners, strict=True)]
+            marked = {o for s, o in zip(states, owners, strict=True) if s.any()}
+            for i, o in enumerate(owners):  # a poor document has some boilerplate
+                if kinds[o] and o not in marked:
                     states[i] = np.ones(len(sequences[i]), np.int64)
     return crf
 
 
 def train_on_labels(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> LineCRF:
-    """A field fitted on the documents of a bounded sample of labels."""
+    """A field fitted on the documents of a bounded sample of labels; features are made on the executors."""
     chosen = []
     for quality in (0, 1):
         rows = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit // 2).collect()
@@ -205,11 +211,18 @@ def train_on_labels(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLE
     if not chosen:
         return LineCRF()
     marked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "id long, quality int"))
-    # the first MAX_LINES lines are what training reads, so nothing longer reaches the driver
-    head = F.array_join(F.slice(F.split("text", "\n", MAX_LINES + 1), 1, MAX_LINES), "\n")
-    rows = docs.join(marked, docs["doc_id"] == marked["id"]).select("id", "quality", F.substring(head, 1, 20_000).alias("head")).where("head is not null").dropDuplicates(["id"]).collect()
-    texts = {kind: [r["head"].encode() for r in sorted(rows, key=lambda r: r.id) if r.quality == kind] for kind in (0, 1)}
-    return train(texts[1], texts[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch):
+                flat = [line_features([line.split() for line in t.as_py().encode().split(b"\n")])[0].ravel() for t in part.column("text")]
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "quality": part.column("quality"), "flat": pa.array(flat, pa.list_(pa.float64()))})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    sampled = texts.join(marked, texts["doc"] == marked["id"]).where("text is not null").select("id", "quality", "text").mapInArrow(run, "id long, quality int, flat array<double>")
+    rows = sampled.groupBy("id", "quality").agg(F.min("flat").alias("flat")).collect()  # rows that repeat a doc_id give one text
+    found = {kind: [np.array(r.flat, float).reshape(-1, len(FEATURES)) for r in sorted(rows, key=lambda r: r.id) if r.quality == kind] for kind in (0, 1)}
+    return train(found[1], found[0])
 
 
 def judge(text: str | None, crf: LineCRF, share: float = CONTENT_SHARE) -> tuple[int, int, int, int, int, bool, float | None, bool]:
