@@ -3,13 +3,14 @@
 The vocabulary is a rank file (``base64(token bytes) rank`` a line); its place
 is a parameter. A ``tokenizers`` BPE model is built from it over the usual
 byte-to-character table, so every byte string is a string of vocabulary
-characters. Arrow batches are split at single spaces between non-spaces, where
-the split pattern always begins a new match, so every chunk encodes by itself;
-each chunk is encoded once a worker and its ids are kept in a bounded table.
+characters. With the public split pattern Arrow batches are split at single
+spaces between non-spaces, where it always begins a new match, so every chunk
+encodes by itself (with another pattern a text is one chunk); each chunk is encoded once a worker and its ids are kept in a bounded table.
 
 Defined results: null and empty text give no ids. Text that looks like a
 special token is ordinary text. Repeated rows are encoded like any other; extra
-columns are dropped. Any text round-trips byte for byte, and ids whose bytes
+columns, whatever their names, are dropped. An empty table gives an empty result;
+very long texts are encoded whole. Any text round-trips byte for byte, and ids whose bytes
 are parts of one character decode to that character when joined.
 """
 
@@ -93,11 +94,14 @@ class ByteBPE:
         for spelled, rank in model_vocabulary(self.tokenizer).items():
             self.token_bytes[rank] = bytes(back[c] for c in spelled)
         self.kept = _Kept(self.tokenizer)
+        self.splits = pattern == _known_pattern()
 
     def chunks(self, text: str) -> list[str]:
         """Pieces whose encodings, joined, are the text's encoding."""
         if not text:
             return []
+        if not self.splits:
+            return [text]
         if _DOUBLE.search(text) or text[0].isspace() or text[-1].isspace():
             return _BOUNDARY.split(text)
         chunks = text.replace("\n", " \n ").split(" ")  # a line feed between non-spaces is a match by itself
@@ -126,6 +130,15 @@ class ByteBPE:
         return at[starts], at[ends - 1] + 1
 
 
+def _known_pattern() -> str | None:
+    """The pattern whose matches begin at single spaces between non-spaces and are single at line feeds between them."""
+    try:
+        from public_tokenizers import PATTERN
+    except ModuleNotFoundError:
+        return None
+    return PATTERN
+
+
 def model_vocabulary(tokenizer) -> dict[str, int]:
     return tokenizer.get_vocab(with_added_tokens=False)
 

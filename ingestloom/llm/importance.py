@@ -13,7 +13,8 @@ separates the labelled documents best, so it follows the corpus.
 Defined results: null and empty text has no n-grams and log weight 0. Without
 labels of both kinds nothing can be told apart and every document stays. Rows tied at the cut all stay. Repeated
 rows are scored alike. Extra columns are dropped by ``select_documents`` and
-kept by ``filter_documents``. An empty table gives an empty result.
+kept by ``filter_documents``,
+whatever their names. Very long texts are scored whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ingestloom.llm.bytesview import SEPARATORS, blocks, byte_view, mix, prefix_hashes, span_hashes
+from ingestloom.llm.names import fresh
 from ingestloom.llm.scratch import materialize
 
 BUCKETS = 1 << 17
@@ -38,7 +40,7 @@ PRIOR_NGRAMS = 80
 #: n-grams of the document length at which weights are compared.
 REFERENCE_NGRAMS = 256
 #: Scale of the Gumbel draws; 1 samples in proportion to the weights, less is nearer to the k largest.
-TEMPERATURE = 0.1
+TEMPERATURE = 1.0
 SEED = 11
 #: A good document lost counts as many poor ones kept, when the threshold is chosen.
 LOSS_OF_GOOD = 4.0
@@ -119,8 +121,8 @@ def log_ratios(docs: DataFrame, good: np.ndarray, buckets: int = BUCKETS, smooth
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def score_documents(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """The columns of ``docs``, then _ngrams and _weight of every document."""
+def score_documents(docs: DataFrame, ratios: np.ndarray, ngrams: str = "_ngrams", weight: str = "_weight") -> DataFrame:
+    """The columns of ``docs``, then the number of n-grams and the log weight of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # as large as the number of buckets, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +132,9 @@ def score_documents(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
                 grams, rows = ngram_buckets(part.column("text"), len(table))
                 counts = np.bincount(rows, minlength=part.num_rows)
                 weights = np.bincount(rows, weights=table[grams], minlength=part.num_rows) / (counts + PRIOR_NGRAMS) * REFERENCE_NGRAMS
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64()), pa.array(weights, pa.float64())], names=[*part.schema.names, "_ngrams", "_weight"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64()), pa.array(weights, pa.float64())], names=[*part.schema.names, ngrams, weight])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_ngrams", LongType()), StructField("_weight", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ngrams, LongType()), StructField(weight, DoubleType())]))
 
 
 def _threshold(scores: DataFrame, ids: dict[bool, np.ndarray]) -> float:
@@ -154,7 +156,7 @@ def _threshold(scores: DataFrame, ids: dict[bool, np.ndarray]) -> float:
 
 def gumbel(doc_id: F.Column, seed: int = SEED) -> F.Column:
     """A standard Gumbel draw that depends on doc_id and seed alone."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.coalesce(doc_id, F.lit(-1)), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(-1).cast("long")), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(-F.log(uniform))
 
 
@@ -177,8 +179,8 @@ def kth_largest(values: DataFrame, k: int, column: str = "v") -> float:
     return float(low)
 
 
-def _drawn(temperature: float, seed: int) -> F.Column:
-    return F.col("_weight") + temperature * gumbel(F.col("doc_id"), seed)
+def _drawn(temperature: float, seed: int, weight: str = "_weight") -> F.Column:
+    return F.col(weight) + temperature * gumbel(F.col("doc_id"), seed)
 
 
 def fit(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, seed: int = SEED, limit: int = MAX_LABELLED, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
@@ -207,4 +209,5 @@ def select_documents(docs: DataFrame, labels: DataFrame, temperature: float = TE
 def filter_documents(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, seed: int = SEED, **options) -> DataFrame:
     """The columns of ``docs`` for the sampled documents; they are scored as they are read, so no text is shuffled."""
     ratios, cut = fit(docs, labels, temperature=temperature, seed=seed, **options)
-    return score_documents(docs, ratios).where(_drawn(temperature, seed) >= F.lit(cut)).select(*docs.columns)
+    names = fresh(docs.columns, "_ngrams", "_weight")
+    return score_documents(docs, ratios, *names).where(_drawn(temperature, seed, names[1]) >= F.lit(cut)).select(*docs.columns)

@@ -10,9 +10,13 @@ over many tasks; a block leaves at most two open documents, which fly again
 together, and what the last flight of a source leaves is a landing problem of
 at most two documents, solved by enumeration.
 
+Extra columns, whatever their names, are dropped by ``mix_documents`` and kept by
+``apply_mix``. Very long texts are counted whole.
+
 Defined results: null or blank text has size 0 and is never taken. A source
 whose size is 0 has target 0. Null sources form one source, ordered last.
-Repeated rows are separate documents. Reruns agree: order and random numbers
+Repeated rows are separate documents; where all columns agree
+``apply_mix`` takes one of them as often as the mix takes all. Reruns agree: order and random numbers
 depend on the rows and the seed alone. An empty table gives an empty result.
 """
 
@@ -25,9 +29,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
-
 from ingestloom.llm.bytesview import blocks, word_counts
+from ingestloom.llm.names import fresh
 from ingestloom.llm.scratch import materialize
 
 #: Documents of a block, on average.
@@ -37,15 +40,21 @@ BROADCAST_SOURCES = 10_000
 EPSILON = 1e-9
 
 
+def _row_key(docs: DataFrame) -> F.Column:
+    """A number that rows share whose columns all agree, but for columns that cannot be hashed."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    return F.xxhash64(*plain)
+
+
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words of every document."""
+    """doc_id, source, size in words, and the number of the row, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch):
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "source": part.column("source"), "size": pa.array(word_counts(part.column("text")), pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "source": part.column("source"), "size": pa.array(word_counts(part.column("text")), pa.int64()), "key": part.column("key")})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, source string, size long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), _row_key(docs).alias("key")).mapInArrow(run, "doc_id long, source string, size long, key long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -128,7 +137,7 @@ def _flight(df: DataFrame, seed: int, last: bool) -> DataFrame:
     """Flies each (source_rank, block) of doc_id, size, p; lands it if ``last``."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id", "p"], ascending=[False, True, True], na_position="last", kind="stable", ignore_index=True)
+        rows = rows.sort_values(["size", "doc_id", "key"], ascending=[False, True, True], na_position="last", kind="stable", ignore_index=True)
         rng = np.random.default_rng([seed, int(key[0]), int(key[1])])
         p = fly(rows.p.to_numpy(), rows["size"].to_numpy(), rng)
         if last:
@@ -139,7 +148,7 @@ def _flight(df: DataFrame, seed: int, last: bool) -> DataFrame:
 
 
 def mix_copies(sizes: DataFrame, seed: int = 7, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken for rows of doc_id, source, size."""
+    """doc_id, size, source_size, target, copies, taken and key for rows of doc_id, source, size, key."""
     targets = source_targets(sizes, weights, share, cap)
     n_sources, most = targets.agg(F.count("*"), F.max("n_docs")).first()
     table = targets.select(F.col("source").alias("of"), "source_size", "target", "source_rank", "n_docs")
@@ -150,7 +159,7 @@ def mix_copies(sizes: DataFrame, seed: int = 7, weights: tuple[float, ...] = (5.
     rated = joined.withColumn("whole", F.floor(rate + EPSILON).cast("long")).withColumn("p", F.greatest(F.lit(0.0), rate - F.floor(rate + EPSILON)))
     n_blocks = F.ceil(F.col("n_docs") / F.lit(block_docs))
     rated = rated.withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), n_blocks)).withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0))
-    fixed = rated.select("doc_id", "size", "source_size", "target", "source_rank", "block", "whole", "p")
+    fixed = rated.select("doc_id", "size", "source_size", "target", "source_rank", "block", "whole", "p", "key")
     blocks_left = -(-int(most or 0) // block_docs)
     done, turn = [], 0
     flown = _flight(fixed, seed, blocks_left <= 1)
@@ -165,7 +174,7 @@ def mix_copies(sizes: DataFrame, seed: int = 7, weights: tuple[float, ...] = (5.
     for part in done:
         flown = flown.unionByName(part)
     copies = F.col("whole") + F.round("p").cast("long")
-    return flown.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return flown.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "key")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -175,22 +184,20 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each document as often as it was taken.
-
-    Rows that share doc_id and size are told apart by number, so that each
-    meets one row of the mix; documents without words are not taken.
-    """
+    """The mix itself: the columns of ``docs``, each document as often as it was taken; none without words is."""
     sizes = materialize(document_sizes(docs))
-    taken = mix_copies(sizes, **options).where("copies > 0 and size > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_mix_size"), "copies")
-    taken = taken.withColumn("_mix_n", F.row_number().over(Window.partitionBy("_id", "_mix_size").orderBy(F.desc("copies"))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(word_counts(part.column("text")), pa.int64())], names=[*part.schema.names, "_mix_size"])
-
-    sized = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_mix_size", LongType())]))
-    numbered = sized.withColumn("_mix_n", F.row_number().over(Window.partitionBy("doc_id", "_mix_size").orderBy("source", "text")))
-    same = numbered["doc_id"].eqNullSafe(taken["_id"]) & (numbered["_mix_size"] == taken["_mix_size"]) & (numbered["_mix_n"] == taken["_mix_n"])
-    joined = numbered.join(taken, same, "inner").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return joined.select(*[numbered[c] for c in docs.columns])
+    doc, key, copies, rows = fresh(docs.columns, "doc", "key", "copies", "rows")
+    taken = mix_copies(sizes, **options).where("size > 0").groupBy("doc_id", "key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    taken = materialize(taken.where("copies > 0")).toDF(doc, key, copies, rows)
+    same = docs["doc_id"].cast("long").eqNullSafe(taken[doc]) & (_row_key(docs) == taken[key])
+    joined = docs.join(taken.hint("shuffle_hash"), same)
+    repeat = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
+
+    def dealt(some: DataFrame) -> DataFrame:
+        return some.withColumn(fresh(some.columns, "nth")[0], repeat).select(*docs.columns)
+
+    out = dealt(joined.where(F.col(rows) == 1))
+    if taken.where(F.col(rows) > 1).isEmpty():
+        return out
+    one = joined.where(F.col(rows) > 1).groupBy(doc, key, copies).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    return out.unionByName(dealt(one.select("row.*", copies)))

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Small partitions are joined to the advised size; shuffle files go once the table is written.
 _WHILE_WRITING = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-_made: list[tuple[SparkSession, str]] = []
+#: Session, path and thread of every table that there is.
+_made: list[tuple[SparkSession, str, int]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -47,25 +50,28 @@ def materialize(df: DataFrame) -> DataFrame:
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
-    _made.append((spark, path))
+    _made.append((spark, path, threading.get_ident()))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """How many tables there are now, for ``made_since``."""
-    return len(_made)
+def made() -> set[str]:
+    """Paths of the tables that this thread has made and that are still there."""
+    return {path for _, path, thread in _made if thread == threading.get_ident()}
 
 
-def made_since(start: int) -> list[str]:
-    """Paths of the tables made since a mark."""
-    return [path for _, path in _made[start:]]
+def release_unread(df: DataFrame, before: set[str]) -> None:
+    """Delete this thread's tables that were not there ``before`` and that the plan of ``df`` does not read."""
+    fresh = made() - before
+    read = {name for file in (df.inputFiles() if fresh else []) for name in file.split("/") if name.startswith("ingestloom-")}
+    release([path for path in fresh if path.rsplit("/", 1)[-1] not in read])
 
 
-def release(paths: list[str]) -> None:
+def release(paths: Iterable[str]) -> None:
     """Delete some intermediate tables; call when what reads them was written."""
-    doomed = [(spark, path) for spark, path in _made if path in paths]
-    _made[:] = [entry for entry in _made if entry not in doomed]
-    for spark, path in doomed:
+    doomed = [entry for entry in _made if entry[1] in set(paths)]
+    for entry in doomed:
+        _made.remove(entry)
+    for spark, path, _ in doomed:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -73,7 +79,7 @@ def release(paths: list[str]) -> None:
 def purge() -> None:
     """Delete every intermediate table, as far as their sessions are alive."""
     try:
-        release([path for _, path in _made])
+        release([path for _, path, _ in _made])
     except Exception:  # a session has ended; nothing can be deleted through it
         _made.clear()
 

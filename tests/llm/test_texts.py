@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -108,6 +109,66 @@ def test_guess_costs():
     assert secrets.find_secrets("the bearer walked on, and the login was fine: passphrase is tomorrow") == []
 
 
+def exhaustive_cost(value, words):
+    """Cheapest segmentation, by trying every cut; patterns are stated anew."""
+    import math
+    from functools import lru_cache
+
+    low, plain = value.lower(), "".join(secrets.LOOKALIKES.get(c, c) for c in value.lower())
+    alphabet = secrets._alphabet(value)
+    year, month, day = "(19|20)[0-9]{2}", "(0[1-9]|1[0-2])", "(0[1-9]|[12][0-9]|3[01])"
+
+    @lru_cache(None)
+    def pattern(s, e):
+        part, n, found = value[s:e], e - s, []
+        for spelled, times in ((low, 1), (plain, 4)):
+            if spelled[s:e] in words and 3 <= n <= 24:
+                found.append(math.log10(words[spelled[s:e]] * times * (1 if part == low[s:e] else 4) + 1))
+        if any(re.fullmatch(f"{year}{sep}{month}{sep}{day}|{day}{sep}{month}{sep}{year}", part) for sep in ("", "-", "/", "[.]", "_")):
+            found.append(math.log10(365 * 120))
+        if re.fullmatch(year, part):
+            found.append(math.log10(120))
+        for p in range(1, 5):
+            if n >= 2 * p and all(part[i] == part[i - p] for i in range(p, n)):
+                found.append(p * math.log10(alphabet) + math.log10(n))
+        if n >= 4 and all((a, b) in secrets._TOUCH for a, b in zip(low[s:e], low[s + 1 : e], strict=False)):
+            found.append(math.log10(47) + n * math.log10(3))
+        if n >= 3 and {ord(b) - ord(a) for a, b in zip(low[s:e], low[s + 1 : e], strict=False)} in ({1}, {-1}):
+            found.append(math.log10(26 * n))
+        return min(found, default=math.inf)
+
+    @lru_cache(None)
+    def best(end, after_brute):
+        """Cheapest for what is before ``end``; two brute-force spans never touch."""
+        if not end:
+            return 0.0
+        out = math.inf
+        for s in range(end):
+            paid = 0.0 if not s else secrets.SEGMENT_COST
+            out = min(out, best(s, False) + pattern(s, end) + paid)
+            if not after_brute:
+                out = min(out, best(s, True) + (end - s) * math.log10(alphabet) + paid)
+        return out
+
+    return best(len(value), False)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from(["2020", "0101", "1999-12-31", "pass", "p4ssword", "Secret", "qwer", "abcd", "aaaa", "7", "x", "Z", "-", "31", "987"]), min_size=1, max_size=4).map("".join))
+def test_guess_cost_is_the_least(value):
+    words = {"password": 1, "secret": 2, "pass": 3, "word": 4, "swo": 5}
+    assert abs(secrets.guess_cost(value, words) - exhaustive_cost(value, words)) < 1e-9
+
+
+def test_hidden_dates_and_contexts():
+    assert secrets.guess_cost("2020200101") < secrets.guess_cost("2020938471")
+    for text in ("aws_secret_access_key is Xk2mQ9vLrT7bNz4w", "DB_PWD: Xk2mQ9vLrT7bNz4w", "login password: Xk2#mQ9vLrT7bNz4w", "login credentials: Xk2#mQ9vLrT7bNz4w"):
+        at = text.index("Xk2")
+        assert (at, 3, len(text)) in secrets.find_secrets(text), text
+    words = secrets.vocabulary_words(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert len(words) > 5000 and secrets.guess_cost("Password", words) < 1
+
+
 def test_secret_frames(spark):
     docs = table(spark, [*AWKWARD, "token = 'abcdefgh12345678' end"])
     found = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
@@ -142,7 +203,9 @@ def test_base_pii_is_plain_regexes(spark):
     texts = ["".join(rng.choices(pieces, k=rng.randint(1, 9))) for _ in range(3000)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pii.scan_pii(rows).collect():
-        assert r.base_sha256 == hashlib.sha256(plain_pii(texts[r.doc_id]).encode()).hexdigest(), texts[r.doc_id]
+        want = plain_pii(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), texts[r.doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [want.count(f"{kind}:") for kind in pii.BASE_KINDS]
 
 
 def test_added_pii(spark):
@@ -162,6 +225,13 @@ def test_pii_frames(spark):
     assert pii.scan_pii(docs.where("false")).count() == 0
 
 
+def test_very_many_spans(spark):
+    n = 20_000
+    text = " ".join(f"a{i}@b.org" for i in range(n))
+    got = pii.scan_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert got.n_email == n and got.base_sha256 == hashlib.sha256(plain_pii(text).encode()).hexdigest()
+
+
 # --- line rules ---------------------------------------------------------------------
 
 
@@ -179,6 +249,21 @@ def test_counts(text):
     assert lines_crf.count_words(text.encode())[:5] == plain_counts(text)
 
 
+def test_verdicts():
+    field = lines_crf.LineCRF(np.array([-1.0, 9.0] + [0.0] * 8))
+    words = [f"word{i}" for i in range(50)]
+    cases = [None, "", " ".join(words[:49]), " ".join(words), "a b c " * 20, " ".join(words) + " x y z" * 17, "# | #\n" * 60 + " ".join(words), "\n".join(words)]
+    for text in cases:
+        n, chars, symbols, lines, repeats, failed, content, kept = lines_crf.judge(text, field)
+        assert (n, chars, symbols, lines, repeats) == plain_counts(text)
+        assert failed == (n < 50 or 100 * repeats > 50 * n) and (content is None) == failed
+        if failed:
+            assert not kept
+        else:
+            marks = sum(len(x.split()) for x in text.split("\n") if set(x) <= set("#| "))
+            assert kept == (content >= 0.5) and np.isclose(content, 1 - marks / n)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     for _ in range(30):
@@ -239,6 +324,29 @@ def test_resampling_on_held_out_documents(spark):
     assert importance.filter_documents(awkward, labels).columns == awkward.columns
 
 
+def test_selection_is_gumbel_top_k(spark):
+    """Models, weights, draws and the k largest, stated plainly."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randint(0, 60)) + rng.choice(["", " ##", " %% %%"]) for _ in range(80)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    grams, rows = importance.ngram_buckets(pa.array(texts, pa.string()))
+    mine = [grams[rows == i].tolist() for i in range(len(texts))]
+    _, fitted = importance.sample_labels(labels)
+    raw, target = Counter(g for m in mine for g in m), Counter(g for i in fitted for g in mine[i])
+    size = importance.BUCKETS
+    ratio = lambda g: math.log((target[g] + 1) / (target.total() + size)) - math.log((raw[g] + 1) / (raw.total() + size))
+    weights = [sum(map(ratio, m)) / (len(m) + importance.PRIOR_NGRAMS) * importance.REFERENCE_NGRAMS for m in mine]
+    draws = {r.doc_id: r.g for r in docs.select("doc_id", importance.gumbel(F.col("doc_id")).alias("g")).collect()}
+    order = sorted(range(len(texts)), key=lambda i: -(weights[i] + draws[i]))
+    got = importance.select_documents(docs, labels, k=25, temperature=1.0).collect()
+    assert {r.doc_id for r in got} == set(order[:25])
+    assert all(abs(r.log_weight - weights[r.doc_id]) < 1e-9 and r.n_ngrams == len(mine[r.doc_id]) for r in got)
+
+
 def test_kth_largest(spark):
     rng = random.Random(1)
     values = [round(rng.gauss(0, 1), 3) for _ in range(3000)] + [0.5] * 500
