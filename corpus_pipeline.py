@@ -1,4 +1,12 @@
-"""A training-data pipeline over ``documents``: five stages, each one operator."""
+"""A training-data pipeline over ``documents``: five stages, each one operator.
+
+Defined results, for each stage and the whole: null texts pass the classifier
+or not as texts without n-grams do, have no lines, are no near-duplicates, and
+are never mixed in (they have no words). Null doc_ids, sources and languages are
+values like others. Of rows that repeat a text the SimHash stage keeps one.
+Texts of any length are processed whole. Extra columns, whatever their names,
+pass through all stages but the last. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -8,20 +16,18 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_earlier: list[str] = []
 
 
 def stage(function: Stage) -> Stage:
-    """A stage's rows are written before the next stage begins; what it kept for them is deleted then."""
+    """A stage whose intermediate tables go at once, but for those that its result reads."""
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         from ingestloom.llm import scratch
 
-        scratch.release(_earlier)
-        start = scratch.mark()
+        before = scratch.made()
         out = function(spark, docs, sf_dir)
-        _earlier[:] = scratch.made_since(start)
+        scratch.release_unread(out, before)
         return out
 
     return run_stage
@@ -45,7 +51,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
+    """One document of each group of similar documents stays: five words a shingle, similarity 0.8 or more."""
     from ingestloom.llm.simhash import drop_near_duplicates
 
     return drop_near_duplicates(docs)
@@ -82,12 +88,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``, each written and read by the next."""
-    from ingestloom.llm.scratch import materialize
+    """All stages applied to ``documents``, each written and read by the next; what was read is deleted."""
+    from ingestloom.llm import scratch
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch.made()
     for k, (_, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialize(docs)
+            docs = scratch.materialize(docs)
+            scratch.release_unread(docs, before)
     return docs
