@@ -105,6 +105,17 @@ def load_csv_malformed(spark, sf_dir):
     return quality.cast_rows(ParquetLoader().read(spark, LoadOptions(model, folder)), model, track=False).drop(ROWNUM)
 
 
+@query("""select c_custkey, case when c_custkey % 5 = 0 then '"' || c_name else c_name end as c_name, left(c_mktsegment, 8) as c_mktsegment from customer""")
+def load_csv_auto_quotes(spark, sf_dir):
+    """Quotes that open and never close, found to be plain text by sniffing."""
+    folder = f"{scratch_folder(spark)}/customer.csv"
+    name = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit('"'), "c_name")).otherwise(F.col("c_name"))
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), name, "c_mktsegment")
+    _write_lines(_t(spark, sf_dir, "customer").select(line.alias("value")), "c_custkey,c_name,c_mktsegment", folder)
+    model = TableModel("customer", tuple(c for c in CUSTOMER.columns if c.name != "c_nationkey"), ("c_custkey",))
+    return staging_rows(spark, LoadOptions(model, folder, quote_mode="auto"))
+
+
 @query("select c_custkey, c_name, left(c_mktsegment, 8) as c_mktsegment from customer")
 def load_csv_quoted_header(spark, sf_dir):
     """A quoted header name that holds the delimiter shifts no column."""
