@@ -165,11 +165,14 @@ def _led(table: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b): links of the lines of each key (key, id, sketch, crowd) with its leaders; and the rows that others must still meet.
 
     A leader has met every line of its key, so its row goes. So do keys that have
-    one line left, or whose lines are all linked to one leader.
+    one line left, or whose lines are all linked to the first leader. Where each
+    line is linked to one of several leaders, lines of different ones may still be
+    alike, so these rows stay.
     """
     found, columns = table.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false"), table.columns
     table = table.withColumn("open", F.lit(True))
-    for _ in range(ROUNDS):
+    closed = table.where("false")
+    for turn in range(ROUNDS):
         leaders = materialize(table.where("open").groupBy("key").agg(F.max(F.struct("crowd", F.col("id").alias("leader"), F.col("sketch").alias("theirs"))).alias("x")).select("key", "x.leader", "x.theirs"))
         if leaders.isEmpty():
             break
@@ -178,9 +181,10 @@ def _led(table: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = found.unionByName(linked)
         settled = linked.select(F.col("a").alias("id"), F.col("b").alias("leader")).unionByName(linked.select(F.col("b").alias("id"), F.col("a").alias("leader"))).withColumn("_hit", F.lit(True))
         rest = materialize(met.join(settled, ["id", "leader"], "left").select(*columns, (F.col("open") & F.col("_hit").isNull()).alias("open")))
-        worth = materialize(rest.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 and open").select("key"))
-        table = materialize(rest.join(worth, "key", "left_semi"))
-    return found, table.drop("open")
+        worth = materialize(rest.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("more")).where("n > 1 and more" if turn == 0 else "n > 1").select("key", "more"))
+        rest = materialize(rest.join(worth, "key"))
+        table, closed = rest.where("more").drop("more"), closed.unionByName(rest.where("not more").drop("more"))
+    return found, table.unionByName(closed).drop("open")
 
 
 def _unsettled(table: DataFrame, found: DataFrame) -> DataFrame:

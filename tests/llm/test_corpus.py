@@ -364,3 +364,17 @@ def test_one_changed_character_of_a_short_line(spark):
     got = fuzzy_lines.drop_lines(table(spark, ["\n".join(lines), "\n".join(typos)])).orderBy("doc_id").collect()
     # banding may miss a link
     assert got[0].text == "\n".join(lines) and len(got[1].text.split("\n")) <= 2
+
+
+def test_lines_linked_to_different_leaders_are_compared(spark, monkeypatch):
+    rng = random.Random(3)
+    paths = []
+    for k in range(24):  # each line is similar to the next one only, and all of a path share one band
+        chars = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=130))
+        paths.append([f"p{k:02d}:{chars[at : at + 90]}" for at in (0, 5, 10, 15)])
+    docs = table(spark, ["\n".join(p) for p in paths])
+    path = fuzzy_lines.line_table(docs).select("id", F.xxhash64(F.substring("line", 1, 4)).alias("key"))
+    bands = fuzzy_lines.bands
+    monkeypatch.setattr(fuzzy_lines, "bands", lambda signed: bands(signed).drop("key").distinct().join(path, "id"))
+    got = {r.doc_id: r.text for r in fuzzy_lines.drop_lines(docs).collect()}
+    assert got == {k: p[0] for k, p in enumerate(paths)}
