@@ -8,14 +8,14 @@ shingles which begin with a character of ``_MARKED``, about three in ten: they
 are chosen by what they hold, so similar lines choose alike. Lines about as long
 as the bound have both signatures, so lines on either side of it meet.
 Signatures are cut into bands. The lines that share a band are
-compared with a leader, the line whose bands are the most crowded, by the exact
+compared with its leader, the line whose bands are the most crowded, by the exact
 Jaccard similarity of their whole shingle sets, made from the lines when they are
-compared. Lines that are not similar to it get
-another leader. Bands whose lines are not one component after that are finished
-exactly: small ones by their pairs, others split by the rare shingles of which
-two similar lines must share one. The parts get leaders again, and then all
-pairs of lines in different components are compared, in blocks. So no link
-between lines of a band is lost, and pairs are made only where few lines are
+compared. Bands whose lines are not one component after that are finished
+exactly: each line outside the largest component of its band meets the lines of
+the other components there. A bitmap of every set, whose bits that the other
+lacks bound the shingles that it lacks, rules pairs out without a loss, and the
+sets of the rest are compared. So no link between lines of a band that joins
+components is lost, and pairs are made only where lines are nearly
 alike. Lines linked this way, and equal lines, form components by distributed
 union-find, and of each component the first line (least doc_id, then least line
 number) stays.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ingestloom.llm.components import connected_components
 from ingestloom.llm.names import fresh
-from ingestloom.llm.scratch import materialize
+from ingestloom.llm.scratch import made, materialize, release_unread
 
 MIN_CHARS = 16
 #: Characters of a shingle.
@@ -50,12 +50,9 @@ OVERLAP = 1.25
 #: Shingles of long lines are marked by their first character: code points that leave 1 by 4, and all beyond ASCII.
 _MARKED = "[" + "".join(f"\\x{c:02X}" for c in range(0x21, 0x7F) if c % 4 == 1) + "[^\\x00-\\x7F]]"
 BANDS, ROWS = 8, 4
-#: Leaders of a band, lines of one that is compared without a split, and lines of a block of a large one.
-ROUNDS, FEW, BLOCK = 2, 128, 256
+#: Longs of a set's bitmap, and lines of a block of a large band.
+WORDS, BLOCK = 43, 4096
 MIN_SIMILARITY = 0.8
-#: Of the two low bits of 32 minima, so many may differ before the sets are compared: at the least similarity more do in
-#: one pair of about 100 000, at a similarity of 0.3 half do.
-SKETCH_APART = 16
 
 
 def permutations(n: int = BANDS * ROWS) -> list[tuple[int, int]]:
@@ -97,16 +94,9 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def bands(signed: DataFrame) -> DataFrame:
-    """id, key of each band of a signature, and sketch: the two low bits of every minimum."""
+    """id and key of each band of a signature."""
     keys = [F.xxhash64(F.lit(b), "marked", *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    bits = [F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(3)), 2 * k) for k in range(BANDS * ROWS)]
-    return signed.select("id", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("sketch"), F.explode(F.array(*keys)).alias("key"))
-
-
-def _alike(a: str, b: str) -> Column:
-    """Whether two sketches of one kind of signature leave similarity possible."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) <= SKETCH_APART
+    return signed.select("id", F.explode(F.array(*keys)).alias("key"))
 
 
 def _set(line: Column) -> Column:
@@ -128,65 +118,53 @@ def similar(a: Column, b: Column, least: float = MIN_SIMILARITY) -> Column:
 
 def links(lines: DataFrame, first: DataFrame) -> DataFrame:
     """(a, b): verified links between different lines. ``first`` has one place (doc_id, text_id, n) of each id."""
+    before = made()
     keyed = materialize(bands(signatures(lines)))
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     # in these joins one side is large and the other small or unique: hashing the latter spares sorting the former
-    members = materialize(keyed.join(shared.hint("shuffle_hash"), "key").select("key", "id", "sketch", "size"))
+    members = materialize(keyed.join(shared.hint("shuffle_hash"), "key").select("key", "id", "size"))
+    release_unread(members, before)
     # how crowded a line's bands are: the common form of a group of variants is in more crowded ones than its variants
     crowd = materialize(members.groupBy("id").agg(F.sum("size").alias("crowd")))
     places = first.join(crowd, "id", "left_semi").select(F.col("at.doc_id").alias("_doc_id"), F.col("at.text_id").alias("_text_id"), F.col("at.n").alias("_n"))
     texts = materialize(lines.join(places.hint("shuffle_hash"), _same_place(lines), "left_semi").select("id", "line"))
-    table = materialize(members.join(crowd, "id").select("key", "id", "sketch", "crowd"))
-    found, left = _led(table, texts)
+    table = materialize(members.join(crowd, "id").select("key", "id", "crowd"))
+    leaders = materialize(table.groupBy("key").agg(F.max(F.struct("crowd", "id")).alias("x")).select("key", F.col("x.id").alias("leader")))
+    # a leader meets every line of its key, so its row goes
+    met = materialize(table.join(leaders, "key").where("id <> leader").select("key", "id", "leader"))
+    found = _judged(met.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct(), texts)
     # what the leaders leave: lines of one band that are not in one component yet
-    rest = materialize(_unsettled(left, found))
+    rest = materialize(_unsettled(met.select("key", "id"), found))
     if rest.isEmpty():
         return found
-    sized = rest.join(materialize(rest.groupBy("key").agg((F.count("*") > FEW).alias("many"))), "key")
-    left = materialize(sized.where(~F.col("many")).select("key", "id", "sketch", F.lit(True).alias("indexed")))
-    many = materialize(sized.where("many").select("key", "id", "sketch", "crowd"))
-    if not many.isEmpty():
-        linked, parts = _led(_by_shingle(many, texts), texts)
-        found, left = materialize(found.unionByName(linked)), left.unionByName(parts.select(left.columns))
-    return found.unionByName(_judged(_pairs(_unsettled(left, found), texts), texts))
+    texts = materialize(_spread(texts.join(rest.select("id").distinct(), "id", "left_semi"), "id"))
+    pairs = materialize(_pairs(rest, texts))
+    # the most promising pair of each line first: most pairs are in one component after that
+    best = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    found = materialize(found.unionByName(_judged(best, texts)))
+    component = materialize(connected_components(found))
+    for side in ("a", "b"):
+        pairs = pairs.join(component.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left")
+    apart = pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    return found.unionByName(_judged(apart, texts)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt over all cores, where they are small and what is made of them takes long."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
 
 
 def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar."""
-    left, right = (texts.select(F.col("id").alias(side), F.col("line").alias(f"_{side}")) for side in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b")
+    left, right = (_spread(texts.select(F.col("id").alias(side), F.col("line").alias(f"_{side}")), side) for side in ("a", "b"))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     # the variable of the transform holds both sets, so that each is made once and not wherever it is mentioned
     sets = F.array(F.struct(*[_set(F.col(c)).alias(c) for c in ("_a", "_b")]))
     same = F.get(F.transform(sets, lambda x: similar(x["_a"], x["_b"])), F.lit(0))
     return materialize(both.where(same).select("a", "b"))
 
 
-def _led(table: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b): links of the lines of each key (key, id, sketch, crowd) with its leaders; and the rows that others must still meet.
-
-    A leader has met every line of its key, so its row goes. So do keys that have
-    one line left, or whose lines are all linked to the first leader. Where each
-    line is linked to one of several leaders, lines of different ones may still be
-    alike, so these rows stay.
-    """
-    found, columns = table.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false"), table.columns
-    table = table.withColumn("open", F.lit(True))
-    closed = table.where("false")
-    for turn in range(ROUNDS):
-        leaders = materialize(table.where("open").groupBy("key").agg(F.max(F.struct("crowd", F.col("id").alias("leader"), F.col("sketch").alias("theirs"))).alias("x")).select("key", "x.leader", "x.theirs"))
-        if leaders.isEmpty():
-            break
-        met = table.join(leaders, "key").where("id <> leader")
-        linked = _judged(met.where(_alike("sketch", "theirs")).select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct(), texts)
-        found = found.unionByName(linked)
-        settled = linked.select(F.col("a").alias("id"), F.col("b").alias("leader")).unionByName(linked.select(F.col("b").alias("id"), F.col("a").alias("leader"))).withColumn("_hit", F.lit(True))
-        rest = materialize(met.join(settled, ["id", "leader"], "left").select(*columns, (F.col("open") & F.col("_hit").isNull()).alias("open")))
-        worth = materialize(rest.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("more")).where("n > 1 and more" if turn == 0 else "n > 1").select("key", "more"))
-        rest = materialize(rest.join(worth, "key"))
-        table, closed = rest.where("more").drop("more"), closed.unionByName(rest.where("not more").drop("more"))
-    return found, table.unionByName(closed).drop("open")
-
-
 def _unsettled(table: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of keys whose lines are in several components of the links found, with the component."""
     linked = materialize(connected_components(found))
@@ -195,40 +173,39 @@ def _unsettled(table: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(several, "key", "left_semi")
 
 
-def _prefix(n: Column, share: float) -> Column:
-    return (n - F.ceil(F.lit(share) * n - 1e-9) + 1).cast("int")
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """id, size n of the set, words w0, w1, ... of a bitmap in which every shingle sets one bit, and its number of bits."""
+    # of an outer explode no filter is inferred, which would make the array a second time
+    flat = sets.select("id", F.size("s").alias("n"), F.explode_outer("s").alias("h"))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))")
+    names = [f"w{k}" for k in range(WORDS)]
+    words = [F.bit_or(F.when(F.pmod("h", F.lit(WORDS)) == k, bit)).alias(name) for k, name in enumerate(names)]
+    return flat.groupBy("id", "n").agg(*words).fillna(0, names).withColumn("bits", reduce(lambda x, y: x + y, [F.bit_count(name) for name in names]))
 
 
-def _by_shingle(table: DataFrame, texts: DataFrame) -> DataFrame:
-    """Keys split by rare shingles, losing no similar pair: key, id, crowd, and whether the row is ``indexed``.
+def _pairs(table: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): lines that share a key and no component, as far as their bitmaps allow similarity, and how far apart these are.
 
-    With all sets in one order, rarest shingle first, the larger of two similar
-    sets has one of its first ``1 - t`` of shingles among the first
-    ``1 - 2 t / (1 + t)`` of the smaller one; the latter rows are indexed.
+    One line of such a pair, a, is outside the largest component of the key. A bit
+    of one set's bitmap that the other's lacks stands for at least one shingle that
+    the other lacks, and similar sets lack few of each other's.
     """
-    t = MIN_SIMILARITY
-    sets = shingle_sets(texts.join(table.select("id").distinct(), "id", "left_semi"))
-    flat = materialize(sets.select("id", F.explode("s").alias("h")))
-    counts = materialize(flat.groupBy("h").agg(F.count("*").alias("n")))
-    ranked = flat.join(counts, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("s"))
-    size = F.size("s")
-    first = ranked.select("id", _prefix(size, 2 * t / (1 + t)).alias("index"), F.posexplode(F.slice("s", F.lit(1), _prefix(size, t))).alias("at", "x"))
-    rare = materialize(first.where("x.n > 1").select("id", F.col("x.h").alias("h"), (F.col("at") < F.col("index")).alias("indexed")))
-    split = materialize(table.join(rare, "id").select(F.xxhash64("key", "h").alias("key"), "id", "sketch", "crowd", "indexed"))
-    worth = split.groupBy("key").agg(F.count("*").alias("n"), F.count_if("indexed").alias("index")).where("n > 1 and index > 0").select("key")
-    return materialize(split.join(materialize(worth), "key", "left_semi"))
-
-
-def _pairs(table: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): lines that share a key and no component, of sizes that allow similarity; large keys in blocks."""
-    sizes = shingle_sets(texts.join(table.select("id").distinct(), "id", "left_semi")).select("id", F.size("s").alias("n"))
-    table = materialize(table.join(sizes, "id"))
-    blocks = materialize(table.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    dealt = table.join(blocks, "key")
-    large = dealt.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "sketch", "component", "n")
-    small = dealt.where("indexed").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("_id"), F.col("sketch").alias("_sketch"), F.col("component").alias("_component"), F.col("n").alias("_n"))
-    fits = (F.col("component") != F.col("_component")) & (F.struct("_n", "_id") < F.struct("n", "id")) & (F.col("_n") >= MIN_SIMILARITY * F.col("n") - 1e-9)
-    return large.join(small, ["key", "block"]).where(fits).where(_alike("sketch", "_sketch")).select(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b")).distinct()
+    maps = materialize(_bitmaps(materialize(shingle_sets(texts))))
+    main = table.groupBy("key", "component").agg(F.count("*").alias("times")).groupBy("key").agg(F.max(F.struct("times", "component")).alias("x"), F.ceil(F.sum("times") / BLOCK).cast("int").alias("blocks"))
+    main = materialize(main.select("key", F.col("x.component").alias("main"), "blocks"))
+    dealt = materialize(table.join(main, "key").join(maps, "id").withColumn("outside", F.col("component") != F.col("main")).drop("main"))
+    # without nulls the condition is short enough to be compiled
+    values = [c for c in dealt.columns if c not in ("key", "blocks", "outside")]
+    dealt = dealt.select("key", "blocks", F.coalesce("outside", F.lit(False)).alias("outside"), *[F.coalesce(c, F.lit(0)).alias(c) for c in values])
+    every = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    outside = dealt.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", *[F.col(c).alias(f"_{c}") for c in values])
+    common = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"w{k}").bitwiseAND(F.col(f"_w{k}"))) for k in range(WORDS)])
+    least = F.lit(MIN_SIMILARITY / (1 + MIN_SIMILARITY)) * (F.col("n") + F.col("_n")) - 1e-9
+    fits = (F.col("component") != F.col("_component")) & (~F.col("outside") | (F.col("_id") < F.col("id")))
+    fits = fits & (F.least("n", "_n") >= F.lit(MIN_SIMILARITY) * F.greatest("n", "_n") - 1e-9)
+    fits = fits & (common >= F.greatest(F.col("bits") - F.col("n"), F.col("_bits") - F.col("_n")) + least)
+    met = _spread(every, "key", "block").join(_spread(outside, "key", "block").hint("merge"), ["key", "block"]).where(fits)
+    return met.select(F.col("_id").alias("a"), F.col("id").alias("b"), (-common / (F.col("bits") + F.col("_bits"))).alias("apart")).distinct()
 
 
 def _same_place(lines: DataFrame) -> Column:
