@@ -378,3 +378,22 @@ def test_lines_linked_to_different_leaders_are_compared(spark, monkeypatch):
     monkeypatch.setattr(fuzzy_lines, "bands", lambda signed: bands(signed).drop("key").distinct().join(path, "id"))
     got = {r.doc_id: r.text for r in fuzzy_lines.drop_lines(docs).collect()}
     assert got == {k: p[0] for k, p in enumerate(paths)}
+
+
+def test_bitmaps_rule_out_no_similar_pair(spark):
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(50)]
+    lines = []
+    for k in range(90):
+        words = list(base)
+        for at in rng.sample(range(50), k % 15):
+            words[at] = "".join(rng.choices("abcdefgh", k=6))
+        lines.append((k, " ".join(words)))
+    texts = spark.createDataFrame(lines, "id long, line string")
+    # the first 60 lines are one component, the others are alone
+    rows = spark.createDataFrame([(1, k, 0 if k < 60 else k) for k, _ in lines], "key long, id long, component long")
+    got = [tuple(sorted((r.a, r.b))) for r in fuzzy_lines._pairs(rows, texts).collect()]
+    sets = [shingles(x) for _, x in lines]
+    pairs = [p for p in itertools.combinations(range(90), 2) if p[1] >= 60]
+    alike = {(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(got) == len(set(got)) and alike <= set(got) <= set(pairs) and 0 < len(alike) <= len(got) < len(pairs) / 2
