@@ -8,17 +8,20 @@ shingles which begin with a character of ``_MARKED``, about three in ten: they
 are chosen by what they hold, so similar lines choose alike. Lines about as long
 as the bound have both signatures, so lines on either side of it meet.
 Signatures are cut into bands. The lines that share a band are
-compared with its leader, the line whose bands are the most crowded, by the exact
-Jaccard similarity of their whole shingle sets, made from the lines when they are
-compared. Bands whose lines are not one component after that are finished
-exactly: each line outside the largest component of its band meets the lines of
-the other components there. A bitmap of every set, whose bits that the other
-lacks bound the shingles that it lacks, rules pairs out without a loss, and the
-sets of the rest are compared. So no link between lines of a band that joins
-components is lost, and pairs are made only where lines are nearly
-alike. Lines linked this way, and equal lines, form components by distributed
-union-find, and of each component the first line (least doc_id, then least line
-number) stays.
+compared with its leader, the line whose bands are the most crowded. A sketch of
+every line, a small bitmap of its marked shingles that comes with the signature,
+rules most chance meetings out: a bit that only one of two sketches has is a
+shingle that only one of the lines has, and similar lines differ in few, so this
+loses no link. The others are compared by the exact Jaccard similarity of their
+whole shingle sets, made from the lines when they are compared. Bands whose lines
+are not one component after that are finished exactly: each line outside the
+largest component of its band meets the lines of the other components there, by
+sketches and then, where a sketch fits, by bitmaps of the whole sets, which rule
+pairs out without a loss as well; the sets of the rest are compared. So no link
+between lines of a band that joins components is lost, and sets and pairs are
+made only where lines are nearly alike. Lines linked this way, and equal lines,
+form components by distributed union-find, and of each component the first line
+(least doc_id, then least line number) stays.
 
 Defined results: null text stays null and has no lines. Blank lines and lines
 of fewer than ``MIN_CHARS`` characters always stay. Lines are equal where two
@@ -50,8 +53,8 @@ OVERLAP = 1.25
 #: Shingles of long lines are marked by their first character: code points that leave 1 by 4, and all beyond ASCII.
 _MARKED = "[" + "".join(f"\\x{c:02X}" for c in range(0x21, 0x7F) if c % 4 == 1) + "[^\\x00-\\x7F]]"
 BANDS, ROWS = 8, 4
-#: Longs of a set's bitmap, and lines of a block of a large band.
-WORDS, BLOCK = 43, 4096
+#: Longs of a set's bitmap and of a sketch, and lines of a block of a large band.
+WORDS, SKETCH, BLOCK = 43, 12, 4096
 MIN_SIMILARITY = 0.8
 
 
@@ -79,24 +82,45 @@ def _tokens(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE_CHARS}}}))"), F.lit(1))
 
 
+def _bit(h: str, words: int) -> tuple[Column, Column]:
+    """The long of a bitmap and the bit in it that a hash sets, computed once for the aggregates of ``_bits``."""
+    return F.pmod(h, F.lit(words)).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({h}, 32) & 63 as int))").alias("bit")
+
+
+def _bits(words: int) -> list[Column]:
+    """Aggregates: the longs w0, w1, ... of a bitmap; null where a long is empty."""
+    return [F.bit_or(F.when(F.col("word") == k, F.col("bit"))).alias(f"w{k}") for k in range(words)]
+
+
 def signatures(lines: DataFrame) -> DataFrame:
-    """id, marked (of which shingles) and minima m0, m1, ... of every different line."""
+    """id, marked (of which shingles), the keys of the bands, and the sketch of every different line.
+
+    A sketch is a bitmap (w0, w1, ...) of the marked shingles, and ``n``, which the
+    size of the whole set does not exceed. ``sketched`` tells one row of each id.
+    """
     some = F.regexp_extract_all("line", F.lit(f"(?s)(?=({_MARKED}.{{{SHINGLE_CHARS - 1}}}))"), F.lit(1))
     picked = lines.select("id", "line", F.when(F.length("line") >= LONG, some).alias("some"))
     few = F.col("some").isNull() | (F.length("line") < OVERLAP * LONG) | (F.size("some") < 2 * MARKED)
+    enough = F.coalesce(F.size("some") >= MARKED, F.lit(False))
     kinds = F.array(
-        F.struct(F.lit(False).alias("marked"), F.when(few, _tokens(F.col("line"))).alias("xs")),
-        F.struct(F.lit(True).alias("marked"), F.when(F.size("some") >= MARKED, F.col("some")).alias("xs")),
+        F.struct(F.lit(False).alias("marked"), (~enough).alias("sketched"), F.when(few, _tokens(F.col("line"))).alias("xs")),
+        F.struct(F.lit(True).alias("marked"), F.lit(True).alias("sketched"), F.when(enough, F.col("some")).alias("xs")),
     )
-    hashed = picked.select("id", F.inline(kinds)).select("id", "marked", F.explode("xs").alias("x")).select("id", "marked", F.xxhash64("x").alias("h"))
+    of = ["id", "marked", "sketched"]
+    flat = picked.select("id", (F.length("line") - SHINGLE_CHARS + 1).alias("n"), F.inline(kinds)).select(*of, "n", F.explode("xs").alias("x"))
+    first = F.ascii("x")
+    is_marked = F.col("marked") | (first > 0x7F) | ((first > 0x20) & (first < 0x7F) & (first % 4 == 1))
+    word, bit = _bit("h", SKETCH)
+    hashed = flat.select(*of, "n", F.xxhash64("x").alias("h"), is_marked.alias("some")).select(*of, "n", "h", F.when(F.col("some"), word).alias("word"), bit)
     minima = [F.min(F.col("h").bitwiseXOR(F.shiftleft("h", shift)).bitwiseXOR(F.lit(mask))).alias(f"m{k}") for k, (shift, mask) in enumerate(permutations())]
-    return hashed.groupBy("id", "marked").agg(*minima)
+    signed = hashed.groupBy(*of).agg(F.max("n").alias("n"), *minima, *_bits(SKETCH))
+    keys = [F.xxhash64(F.lit(b), "marked", *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
+    return signed.select(*of, "n", F.array(*keys).alias("keys"), *[F.coalesce(f"w{k}", F.lit(0)).alias(f"w{k}") for k in range(SKETCH)])
 
 
 def bands(signed: DataFrame) -> DataFrame:
     """id and key of each band of a signature."""
-    keys = [F.xxhash64(F.lit(b), "marked", *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select("id", F.explode(F.array(*keys)).alias("key"))
+    return signed.select("id", F.explode("keys").alias("key"))
 
 
 def _set(line: Column) -> Column:
@@ -119,26 +143,33 @@ def similar(a: Column, b: Column, least: float = MIN_SIMILARITY) -> Column:
 def links(lines: DataFrame, first: DataFrame) -> DataFrame:
     """(a, b): verified links between different lines. ``first`` has one place (doc_id, text_id, n) of each id."""
     before = made()
-    keyed = materialize(bands(signatures(lines)))
+    signed = materialize(signatures(lines))
+    keyed = bands(signed)
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     # in these joins one side is large and the other small or unique: hashing the latter spares sorting the former
     members = materialize(keyed.join(shared.hint("shuffle_hash"), "key").select("key", "id", "size"))
-    release_unread(members, before)
     # how crowded a line's bands are: the common form of a group of variants is in more crowded ones than its variants
     crowd = materialize(members.groupBy("id").agg(F.sum("size").alias("crowd")))
-    places = first.join(crowd, "id", "left_semi").select(F.col("at.doc_id").alias("_doc_id"), F.col("at.text_id").alias("_text_id"), F.col("at.n").alias("_n"))
-    texts = materialize(lines.join(places.hint("shuffle_hash"), _same_place(lines), "left_semi").select("id", "line"))
-    table = materialize(members.join(crowd, "id").select("key", "id", "crowd"))
+    sketches = materialize(signed.where("sketched").join(crowd.hint("shuffle_hash"), "id", "left_semi").drop("keys", "marked", "sketched"))
+    release_unread(members, before, crowd, sketches)
+    table = materialize(members.join(crowd.hint("shuffle_hash"), "id").select("key", "id", "crowd"))
     leaders = materialize(table.groupBy("key").agg(F.max(F.struct("crowd", "id")).alias("x")).select("key", F.col("x.id").alias("leader")))
     # a leader meets every line of its key, so its row goes
-    met = materialize(table.join(leaders, "key").where("id <> leader").select("key", "id", "leader"))
-    found = _judged(met.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct(), texts)
-    # what the leaders leave: lines of one band that are not in one component yet
+    met = materialize(table.join(leaders.hint("shuffle_hash"), "key").where("id <> leader").select("key", "id", "leader"))
+    release_unread(sketches, before, met)
+    near = materialize(_near(met.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct(), sketches))
+    texts = _texts(near.select(F.explode(F.array("a", "b")).alias("id")), lines, first)
+    found = _judged(near, texts)
+    release_unread(sketches, before, met, found)
+    # what the leaders leave: lines of one band that are not in one component yet, and of these the ones whose sketches fit
     rest = materialize(_unsettled(met.select("key", "id"), found))
-    if rest.isEmpty():
+    release_unread(sketches, before, rest, found)
+    fitting = materialize(_fitting(rest, sketches))
+    release_unread(rest, before, found, fitting)
+    if fitting.isEmpty():
         return found
-    texts = materialize(_spread(texts.join(rest.select("id").distinct(), "id", "left_semi"), "id"))
-    pairs = materialize(_pairs(rest, texts))
+    texts = _texts(fitting, lines, first)
+    pairs = materialize(_pairs(rest.join(fitting, "id", "left_semi"), texts))
     # the most promising pair of each line first: most pairs are in one component after that
     best = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     found = materialize(found.unionByName(_judged(best, texts)))
@@ -149,6 +180,25 @@ def links(lines: DataFrame, first: DataFrame) -> DataFrame:
     return found.unionByName(_judged(apart, texts)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
 
+def _texts(ids: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
+    """id and line of some ids, read from the first place of each."""
+    places = first.join(ids.distinct(), "id", "left_semi").select(F.col("at.doc_id").alias("_doc_id"), F.col("at.text_id").alias("_text_id"), F.col("at.n").alias("_n"))
+    return materialize(lines.join(materialize(places).hint("shuffle_hash"), _same_place(lines), "left_semi").select("id", "line"))
+
+
+def _alike() -> Column:
+    """Whether two sketches (one's columns begin with _) allow similarity: each bit that one of them lacks is a shingle that one of the sets lacks."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"_w{k}"))) for k in range(SKETCH)])
+    return differ * F.lit(1 + MIN_SIMILARITY) <= F.lit(1 - MIN_SIMILARITY) * (F.col("n") + F.col("_n")) + 1e-6
+
+
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches allow similarity."""
+    left = sketches.withColumnRenamed("id", "a")
+    right = sketches.toDF(*[f"_{c}" for c in sketches.columns]).withColumnRenamed("_id", "b")
+    return pairs.join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").where(_alike()).select("a", "b")
+
+
 def _spread(rows: DataFrame, *by: str) -> DataFrame:
     """Rows dealt over all cores, where they are small and what is made of them takes long."""
     spark = rows.sparkSession
@@ -176,11 +226,31 @@ def _unsettled(table: DataFrame, found: DataFrame) -> DataFrame:
 def _bitmaps(sets: DataFrame) -> DataFrame:
     """id, size n of the set, words w0, w1, ... of a bitmap in which every shingle sets one bit, and its number of bits."""
     # of an outer explode no filter is inferred, which would make the array a second time
-    flat = sets.select("id", F.size("s").alias("n"), F.explode_outer("s").alias("h"))
-    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))")
+    flat = sets.select("id", F.size("s").alias("n"), F.explode_outer("s").alias("h")).select("id", "n", *_bit("h", WORDS))
     names = [f"w{k}" for k in range(WORDS)]
-    words = [F.bit_or(F.when(F.pmod("h", F.lit(WORDS)) == k, bit)).alias(name) for k, name in enumerate(names)]
-    return flat.groupBy("id", "n").agg(*words).fillna(0, names).withColumn("bits", reduce(lambda x, y: x + y, [F.bit_count(name) for name in names]))
+    return flat.groupBy("id", "n").agg(*_bits(WORDS)).fillna(0, names).withColumn("bits", reduce(lambda x, y: x + y, [F.bit_count(name) for name in names]))
+
+
+def _dealt(table: DataFrame, maps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """By key and block, ``maps`` of every line, and (columns begin with _) of the lines outside the largest component of the key."""
+    main = table.groupBy("key", "component").agg(F.count("*").alias("times")).groupBy("key").agg(F.max(F.struct("times", "component")).alias("x"), F.ceil(F.sum("times") / BLOCK).cast("int").alias("blocks"))
+    main = materialize(main.select("key", F.col("x.component").alias("main"), "blocks"))
+    dealt = materialize(table.join(main.hint("shuffle_hash"), "key").join(maps.hint("shuffle_hash"), "id").withColumn("outside", F.col("component") != F.col("main")).drop("main"))
+    # without nulls the condition is short enough to be compiled
+    values = [c for c in dealt.columns if c not in ("key", "blocks", "outside")]
+    dealt = dealt.select("key", "blocks", F.coalesce("outside", F.lit(False)).alias("outside"), *[F.coalesce(c, F.lit(0)).alias(c) for c in values])
+    every = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    outside = dealt.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", *[F.col(c).alias(f"_{c}") for c in values])
+    return _spread(every, "key", "block"), _spread(outside, "key", "block")
+
+
+def _fitting(table: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The ids of ``table`` that share a key and no component with one whose sketch allows similarity."""
+    every, outside = _dealt(table, sketches)
+    fits = (every["key"] == outside["key"]) & (every["block"] == outside["block"]) & (F.col("component") != F.col("_component")) & _alike()
+    # semi joins make a row a line, not a row a pair
+    ids = [x.join(y.hint("merge"), fits, "left_semi").select(F.col(c).alias("id")) for x, y, c in ((every, outside, "id"), (outside, every, "_id"))]
+    return ids[0].unionByName(ids[1]).distinct()
 
 
 def _pairs(table: DataFrame, texts: DataFrame) -> DataFrame:
@@ -191,20 +261,13 @@ def _pairs(table: DataFrame, texts: DataFrame) -> DataFrame:
     the other lacks, and similar sets lack few of each other's.
     """
     maps = materialize(_bitmaps(materialize(shingle_sets(texts))))
-    main = table.groupBy("key", "component").agg(F.count("*").alias("times")).groupBy("key").agg(F.max(F.struct("times", "component")).alias("x"), F.ceil(F.sum("times") / BLOCK).cast("int").alias("blocks"))
-    main = materialize(main.select("key", F.col("x.component").alias("main"), "blocks"))
-    dealt = materialize(table.join(main, "key").join(maps, "id").withColumn("outside", F.col("component") != F.col("main")).drop("main"))
-    # without nulls the condition is short enough to be compiled
-    values = [c for c in dealt.columns if c not in ("key", "blocks", "outside")]
-    dealt = dealt.select("key", "blocks", F.coalesce("outside", F.lit(False)).alias("outside"), *[F.coalesce(c, F.lit(0)).alias(c) for c in values])
-    every = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-    outside = dealt.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", *[F.col(c).alias(f"_{c}") for c in values])
     common = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"w{k}").bitwiseAND(F.col(f"_w{k}"))) for k in range(WORDS)])
     least = F.lit(MIN_SIMILARITY / (1 + MIN_SIMILARITY)) * (F.col("n") + F.col("_n")) - 1e-9
     fits = (F.col("component") != F.col("_component")) & (~F.col("outside") | (F.col("_id") < F.col("id")))
     fits = fits & (F.least("n", "_n") >= F.lit(MIN_SIMILARITY) * F.greatest("n", "_n") - 1e-9)
     fits = fits & (common >= F.greatest(F.col("bits") - F.col("n"), F.col("_bits") - F.col("_n")) + least)
-    met = _spread(every, "key", "block").join(_spread(outside, "key", "block").hint("merge"), ["key", "block"]).where(fits)
+    every, outside = _dealt(table, maps)
+    met = every.join(outside.hint("merge"), ["key", "block"]).where(fits)
     return met.select(F.col("_id").alias("a"), F.col("id").alias("b"), (-common / (F.col("bits") + F.col("_bits"))).alias("apart")).distinct()
 
 

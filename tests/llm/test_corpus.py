@@ -397,3 +397,39 @@ def test_bitmaps_rule_out_no_similar_pair(spark):
     pairs = [p for p in itertools.combinations(range(90), 2) if p[1] >= 60]
     alike = {(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
     assert len(got) == len(set(got)) and alike <= set(got) <= set(pairs) and 0 < len(alike) <= len(got) < len(pairs) / 2
+
+
+def test_lines_that_share_a_band_by_chance_are_not_compared(spark, monkeypatch):
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(40)]
+    texts += [x + " more" for x in texts[:5]]
+    # every line shares its one band with all others
+    monkeypatch.setattr(fuzzy_lines, "bands", lambda signed: signed.select("id").distinct().withColumn("key", F.lit(1).cast("long")))
+    counts, judged, sets = Counter(), fuzzy_lines._judged, fuzzy_lines.shingle_sets
+    monkeypatch.setattr(fuzzy_lines, "_judged", lambda pairs, x: counts.update(judged=pairs.count()) or judged(pairs, x))
+    monkeypatch.setattr(fuzzy_lines, "shingle_sets", lambda x: counts.update(sets=x.count()) or sets(x))
+    got = {r.doc_id: r.text for r in fuzzy_lines.drop_lines(table(spark, texts)).collect()}
+    assert got == {k: "" if k >= 40 else x for k, x in enumerate(texts)}
+    assert counts["judged"] <= 20 and counts["sets"] <= 10
+
+
+def test_sketches_rule_out_no_similar_lines(spark):
+    rng = random.Random(22)
+    lines = set()
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "éabcdeà ", "".join(chr(0x4E00 + k) for k in range(300))):
+        for size in (20, 60, 95, 99, 104, 124, 130, 400, 1500):
+            line = rng.choices(letters, k=size)
+            for _ in range(8):
+                lines.add("x" + "".join(line))
+                for _ in range(max(1, size // 60)):
+                    line[rng.randrange(size)] = rng.choice(letters)
+    lines = sorted(lines)
+    signed = fuzzy_lines.signatures(fuzzy_lines.line_table(table(spark, lines))).where("sketched").drop("keys", "marked", "sketched").cache()
+    ids = {r.id: shingles(r.line) for r in fuzzy_lines.line_table(table(spark, lines)).collect()}
+    assert sorted(r.id for r in signed.collect()) == sorted(ids)
+    pairs = signed.select(F.col("id").alias("a")).crossJoin(signed.select(F.col("id").alias("b"))).where("a < b")
+    near = {(r.a, r.b) for r in fuzzy_lines._near(pairs, signed).collect()}
+    every = list(itertools.combinations(sorted(ids), 2))
+    similar = {(a, b) for a, b in every if 5 * len(ids[a] & ids[b]) >= 4 * len(ids[a] | ids[b])}
+    assert len(similar) > 100 and similar <= near and len(near) < len(every) / 4
