@@ -4,7 +4,8 @@ Distributed union-find by alternating large-star and small-star steps: each
 step links every node's neighbours to the smallest of them. Minima are
 aggregated before the shuffle, so a node with very many neighbours is no hot
 key there, and they are written before they are joined, so that both sides of
-the join have a shuffle of their own that adaptive execution can split.
+the join have a shuffle of their own that adaptive execution can split. The
+steps end when all edges lead to the least node of their component.
 """
 
 from __future__ import annotations
@@ -32,6 +33,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node below which another stands has no further edge: every edge then leads to the least of its component."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 0 and n > 1").agg(F.count("*")).first()[0] == 0
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b) that is not the least of its component.
 
@@ -40,12 +47,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     edges = materialize(edges.where("a is not null and b is not null and a <> b").select(high.alias("a"), low.alias("b")).distinct())
-    before = None
     for _ in range(MAX_ROUNDS):
+        if _are_stars(edges):
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         large = materialize(_star(edges, True))
         edges = materialize(_star(large, False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = now
     raise RuntimeError("components did not settle")
+
+
+def join_components(linked: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) of what the components ``linked`` become by further edges (a, b): only their least nodes are linked anew."""
+    for side in ("a", "b"):
+        edges = edges.join(linked.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left")
+    raised = connected_components(edges.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    above = raised.toDF("component", "to")
+    return linked.join(above, "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(raised)

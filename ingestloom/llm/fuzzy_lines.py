@@ -39,7 +39,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ingestloom.llm.components import connected_components
+from ingestloom.llm.components import connected_components, join_components
 from ingestloom.llm.names import fresh
 from ingestloom.llm.scratch import made, materialize, release_unread
 
@@ -88,8 +88,8 @@ def _bit(h: str, words: int) -> tuple[Column, Column]:
 
 
 def _bits(words: int) -> list[Column]:
-    """Aggregates: the longs w0, w1, ... of a bitmap; null where a long is empty."""
-    return [F.bit_or(F.when(F.col("word") == k, F.col("bit"))).alias(f"w{k}") for k in range(words)]
+    """Aggregates: the longs w0, w1, ... of a bitmap. Of a value that can be null the generated code makes tests at every row."""
+    return [F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0))).alias(f"w{k}") for k in range(words)]
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -111,11 +111,11 @@ def signatures(lines: DataFrame) -> DataFrame:
     first = F.ascii("x")
     is_marked = F.col("marked") | (first > 0x7F) | ((first > 0x20) & (first < 0x7F) & (first % 4 == 1))
     word, bit = _bit("h", SKETCH)
-    hashed = flat.select(*of, "n", F.xxhash64("x").alias("h"), is_marked.alias("some")).select(*of, "n", "h", F.when(F.col("some"), word).alias("word"), bit)
+    hashed = flat.select(*of, "n", F.xxhash64("x").alias("h"), is_marked.alias("some")).select(*of, "n", "h", F.when(F.col("some"), word).otherwise(F.lit(-1)).alias("word"), bit)
     minima = [F.min(F.col("h").bitwiseXOR(F.shiftleft("h", shift)).bitwiseXOR(F.lit(mask))).alias(f"m{k}") for k, (shift, mask) in enumerate(permutations())]
     signed = hashed.groupBy(*of).agg(F.max("n").alias("n"), *minima, *_bits(SKETCH))
     keys = [F.xxhash64(F.lit(b), "marked", *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select(*of, "n", F.array(*keys).alias("keys"), *[F.coalesce(f"w{k}", F.lit(0)).alias(f"w{k}") for k in range(SKETCH)])
+    return signed.select(*of, "n", F.array(*keys).alias("keys"), *[f"w{k}" for k in range(SKETCH)])
 
 
 def bands(signed: DataFrame) -> DataFrame:
@@ -142,6 +142,11 @@ def similar(a: Column, b: Column, least: float = MIN_SIMILARITY) -> Column:
 
 def links(lines: DataFrame, first: DataFrame) -> DataFrame:
     """(a, b): verified links between different lines. ``first`` has one place (doc_id, text_id, n) of each id."""
+    return linked_lines(lines, first)[0]
+
+
+def linked_lines(lines: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links between different lines, and (node, component) of the lines that they put below another."""
     before = made()
     signed = materialize(signatures(lines))
     keyed = bands(signed)
@@ -162,22 +167,25 @@ def links(lines: DataFrame, first: DataFrame) -> DataFrame:
     found = _judged(near, texts)
     release_unread(sketches, before, met, found)
     # what the leaders leave: lines of one band that are not in one component yet, and of these the ones whose sketches fit
-    rest = materialize(_unsettled(met.select("key", "id"), found))
-    release_unread(sketches, before, rest, found)
+    linked = connected_components(found)
+    rest = materialize(_unsettled(met.select("key", "id"), linked))
+    release_unread(sketches, before, rest, found, linked)
     fitting = materialize(_fitting(rest, sketches))
-    release_unread(rest, before, found, fitting)
+    release_unread(rest, before, found, linked, fitting)
     if fitting.isEmpty():
-        return found
+        return found, linked
     texts = _texts(fitting, lines, first)
     pairs = materialize(_pairs(rest.join(fitting, "id", "left_semi"), texts))
     # the most promising pair of each line first: most pairs are in one component after that
     best = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    found = materialize(found.unionByName(_judged(best, texts)))
-    component = materialize(connected_components(found))
+    likely = _judged(best, texts)
+    component = materialize(join_components(linked, likely))
     for side in ("a", "b"):
         pairs = pairs.join(component.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left")
     apart = pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-    return found.unionByName(_judged(apart, texts)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    last = _judged(apart, texts)
+    found = found.unionByName(likely).unionByName(last).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return found, materialize(join_components(component, last))
 
 
 def _texts(ids: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
@@ -215,9 +223,8 @@ def _judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(both.where(same).select("a", "b"))
 
 
-def _unsettled(table: DataFrame, found: DataFrame) -> DataFrame:
+def _unsettled(table: DataFrame, linked: DataFrame) -> DataFrame:
     """The rows of keys whose lines are in several components of the links found, with the component."""
-    linked = materialize(connected_components(found))
     named = materialize(table.join(linked, table["id"] == linked["node"], "left").select(*table.columns, F.coalesce("component", "id").alias("component")))
     several = materialize(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"))
     return named.join(several, "key", "left_semi")
@@ -228,7 +235,7 @@ def _bitmaps(sets: DataFrame) -> DataFrame:
     # of an outer explode no filter is inferred, which would make the array a second time
     flat = sets.select("id", F.size("s").alias("n"), F.explode_outer("s").alias("h")).select("id", "n", *_bit("h", WORDS))
     names = [f"w{k}" for k in range(WORDS)]
-    return flat.groupBy("id", "n").agg(*_bits(WORDS)).fillna(0, names).withColumn("bits", reduce(lambda x, y: x + y, [F.bit_count(name) for name in names]))
+    return flat.groupBy("id", "n").agg(*_bits(WORDS)).withColumn("bits", reduce(lambda x, y: x + y, [F.bit_count(name) for name in names]))
 
 
 def _dealt(table: DataFrame, maps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -280,7 +287,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = line_table(docs)
     spots = lines.select("doc_id", "text_id", "n", "id", "check")  # read from the texts each time; hashing a line costs less than keeping it
     first = materialize(spots.groupBy("id").agg(F.min(F.struct("doc_id", "text_id", "n", "check")).alias("at"), F.count("*").alias("times")))
-    linked = materialize(connected_components(links(lines, first)))
+    linked = linked_lines(lines, first)[1]
     named = first.join(linked, first["id"] == linked["node"], "left").select("id", "at", "times", F.coalesce("component", "id").alias("group"))
     kept = materialize(named.groupBy("group").agg(F.min("at").alias("stays"), F.sum("times").alias("size")).where("size > 1").select("group", "stays"))
     where = materialize(named.join(kept, "group").select("id", F.col("at.check").alias("same"), F.struct("stays.doc_id", "stays.text_id", "stays.n").alias("stays")))

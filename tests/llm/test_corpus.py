@@ -45,6 +45,26 @@ def test_components(spark):
     assert components.connected_components(frame.where("false")).count() == 0
 
 
+def test_components_take_no_step_where_edges_are_stars(spark, monkeypatch):
+    steps, star = [], components._star
+    monkeypatch.setattr(components, "_star", lambda edges, large: steps.append(large) or star(edges, large))
+    edges = [(k, 1) for k in range(2, 40)] + [(50, k) for k in (60, 61)] + [(70, 70)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 1 for k in range(2, 40)} | {60: 50, 61: 50} and not steps
+    path = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    assert {r.node: r.component for r in components.connected_components(path).collect()} == {2: 1, 3: 1} and steps == [True, False]
+
+
+def test_components_joined_by_further_edges(spark):
+    rng = random.Random(5)
+    old, new = ([(rng.randint(1, 120), rng.randint(1, 120)) for _ in range(n)] for n in (50, 30))
+    linked = components.connected_components(spark.createDataFrame(old, "a long, b long"))
+    got = components.join_components(linked, spark.createDataFrame([*new, (7, 7), (None, 3)], "a long, b long")).collect()
+    want = groups({n for e in old + new for n in e}, old + new)
+    assert sorted((r.node, r.component) for r in got) == sorted((n, c) for n, c in want.items() if n != c)
+    assert sorted(components.join_components(linked, spark.createDataFrame([], "a long, b long")).collect()) == sorted(linked.collect())
+
+
 # --- near-duplicates -------------------------------------------------------------
 
 
