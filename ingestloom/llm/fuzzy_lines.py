@@ -1,19 +1,22 @@
 """Fuzzy line de-duplication by MinHash, in native expressions only.
 
 Every line of enough characters becomes the set of its character shingles, of
-one length and from every character. Each shingle is hashed once; cheap
-bijections of the hash give the permutations whose minima form the signature,
-aggregated in generated code. Of longer lines the signature is that of the
-shingles which begin with a character of ``_MARKED``, about three in ten: they
-are chosen by what they hold, so similar lines choose alike. Lines about as long
-as the bound have both signatures, so lines on either side of it meet.
-Signatures are cut into bands. The lines that share a band are
-compared with its leader, the line whose bands are the most crowded. A sketch of
-every line, a small bitmap of its marked shingles that comes with the signature,
-rules most chance meetings out: a bit that only one of two sketches has is a
-shingle that only one of the lines has, and similar lines differ in few, so this
-loses no link. The others are compared by the exact Jaccard similarity of their
-whole shingle sets, made from the lines when they are compared. Bands whose lines
+one length and from every character. Its signature is that of longer grams, of
+``GRAM_BYTES`` bytes: unrelated lines have far fewer of them in common than
+shingles, so few lines share a band by chance. Each gram is hashed once, and of
+a line's hashes those are sampled that end in as many zero bits as its size asks
+for: they are chosen by what they hold, so similar lines choose alike. Lines
+about as long as a bound between two samplings have both signatures. The size is
+that of the different words, so a line that repeats itself is sampled less or
+not at all. Cheap bijections of the hash give the permutations whose minima form
+the signature, aggregated in generated code.
+Signatures are cut into bands. The texts of the lines that share a band are read
+once, and the lines compared with the band's leader, the line whose bands are the
+most crowded. A sketch of each of these lines, a small bitmap of half of the
+beginnings of its shingles, rules most chance meetings out: a bit that only one
+of two sketches has is a shingle that only one of the lines has, and similar
+lines differ in few, so this loses no link. The others are compared by the exact
+Jaccard similarity of their whole shingle sets. Bands whose lines
 are not one component after that are finished exactly: each line outside the
 largest component of its band meets the lines of the other components there, by
 sketches and then, where a sketch fits, by bitmaps of the whole sets, which rule
@@ -46,13 +49,13 @@ from ingestloom.llm.scratch import made, materialize, release_unread
 MIN_CHARS = 16
 #: Characters of a shingle.
 SHINGLE_CHARS = 5
-#: Characters of a line from which, and marked shingles of it from which, the signature is that of marked shingles.
-LONG, MARKED = 100, 12
-#: Lines up to so many times as long have the signature of all their shingles as well.
+#: Bytes of the grams of a signature, and grams of a line that are sampled for one at least, as far as there are.
+GRAM_BYTES, SAMPLED = 8, 16
+#: Bytes of the words by which the different grams of a line are estimated.
+WORD_BYTES = 6
+#: Lines that would have the next level's size, were they so many times as long, have the signature of that level as well.
 OVERLAP = 1.25
-#: Shingles of long lines are marked by their first character: code points that leave 1 by 4, and all beyond ASCII.
-_MARKED = "[" + "".join(f"\\x{c:02X}" for c in range(0x21, 0x7F) if c % 4 == 1) + "[^\\x00-\\x7F]]"
-BANDS, ROWS = 8, 4
+BANDS, ROWS = 12, 3
 #: Longs of a set's bitmap and of a sketch, and lines of a block of a large band.
 WORDS, SKETCH, BLOCK = 43, 12, 4096
 MIN_SIMILARITY = 0.8
@@ -92,30 +95,54 @@ def _bits(words: int) -> list[Column]:
     return [F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0))).alias(f"w{k}") for k in range(words)]
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """id, marked (of which shingles), the keys of the bands, and the sketch of every different line.
-
-    A sketch is a bitmap (w0, w1, ...) of the marked shingles, and ``n``, which the
-    size of the whole set does not exceed. ``sketched`` tells one row of each id.
+def _grams(lines: DataFrame, size: int, *columns: Column) -> DataFrame:
+    """``columns``, the bytes of a line, and a row with the place i of every ``size`` bytes of it; no line is shorter."""
+    flat = lines.select(*columns, F.col("line").cast("binary").alias("bytes"))
+    return flat.withColumn("i", F.explode(F.sequence(F.lit(1), F.octet_length("bytes") - size + 1)))
+
+
+def minima(lines: DataFrame) -> DataFrame:
+    """id, level and the keys of the bands of every different line's signatures."""
+    # a line has hardly fewer grams than different words; one that repeats itself is not sampled as its length would have it
+    words = F.size(F.array_distinct(F.split("line", " ")))
+    sized = lines.select("id", "line", F.least(F.octet_length("line"), WORD_BYTES * words).alias("size"))
+    level = F.greatest(F.lit(0), F.floor(F.log2(F.col("size") / SAMPLED))).cast("int")
+    leveled = sized.withColumn("level", level)
+    next_too = F.col("size") * F.lit(OVERLAP) >= 2 * SAMPLED * F.expr("shiftleft(1L, level)")
+    # the masks tell which hashes a level samples; those of the next one are among those of a line's own
+    levels = leveled.withColumn("above", F.when(next_too, F.col("level") + 1).otherwise(F.lit(-1)))
+    of = [F.col("id"), F.col("level"), F.col("above"), F.expr("shiftleft(1L, level) - 1").alias("own"), F.expr("shiftleft(2L, level) - 1").alias("next")]
+    hashed = _grams(levels, GRAM_BYTES, *of).select("id", "level", "above", "own", "next", F.xxhash64(F.substring("bytes", F.col("i"), F.lit(GRAM_BYTES))).alias("h"))
+    sampled = hashed.where(F.col("h").bitwiseAND(F.col("own")) == 0)
+    both = (F.col("above") >= 0) & (F.col("h").bitwiseAND(F.col("next")) == 0)
+    kept = sampled.select("id", "h", F.explode(F.when(both, F.array("level", "above")).otherwise(F.array("level"))).alias("level"))
+    least = [F.min(F.col("h").bitwiseXOR(F.shiftleft("h", shift)).bitwiseXOR(F.lit(mask))).alias(f"m{k}") for k, (shift, mask) in enumerate(permutations())]
+    signed = kept.groupBy("id", "level").agg(*least)
+    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
+    return signed.select("id", "level", F.array(*keys).alias("keys"))
+
+
+def sketches(lines: DataFrame) -> DataFrame:
+    """id, n and a bitmap (w0, w1, ...) of half of the first bytes of each line's shingles.
+
+    Bytes that only one line has begin a shingle that only that line has. Up to
+    three more grams of ``SHINGLE_CHARS`` bytes begin in the last characters of a
+    line beyond ASCII, too late for a shingle. ``n`` makes up for them: besides
+    that it is not below the size of the set.
     """
-    some = F.regexp_extract_all("line", F.lit(f"(?s)(?=({_MARKED}.{{{SHINGLE_CHARS - 1}}}))"), F.lit(1))
-    picked = lines.select("id", "line", F.when(F.length("line") >= LONG, some).alias("some"))
-    few = F.col("some").isNull() | (F.length("line") < OVERLAP * LONG) | (F.size("some") < 2 * MARKED)
-    enough = F.coalesce(F.size("some") >= MARKED, F.lit(False))
-    kinds = F.array(
-        F.struct(F.lit(False).alias("marked"), (~enough).alias("sketched"), F.when(few, _tokens(F.col("line"))).alias("xs")),
-        F.struct(F.lit(True).alias("marked"), F.lit(True).alias("sketched"), F.when(enough, F.col("some")).alias("xs")),
-    )
-    of = ["id", "marked", "sketched"]
-    flat = picked.select("id", (F.length("line") - SHINGLE_CHARS + 1).alias("n"), F.inline(kinds)).select(*of, "n", F.explode("xs").alias("x"))
-    first = F.ascii("x")
-    is_marked = F.col("marked") | (first > 0x7F) | ((first > 0x20) & (first < 0x7F) & (first % 4 == 1))
-    word, bit = _bit("h", SKETCH)
-    hashed = flat.select(*of, "n", F.xxhash64("x").alias("h"), is_marked.alias("some")).select(*of, "n", "h", F.when(F.col("some"), word).otherwise(F.lit(-1)).alias("word"), bit)
-    minima = [F.min(F.col("h").bitwiseXOR(F.shiftleft("h", shift)).bitwiseXOR(F.lit(mask))).alias(f"m{k}") for k, (shift, mask) in enumerate(permutations())]
-    signed = hashed.groupBy(*of).agg(F.max("n").alias("n"), *minima, *_bits(SKETCH))
-    keys = [F.xxhash64(F.lit(b), "marked", *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select(*of, "n", F.array(*keys).alias("keys"), *[f"w{k}" for k in range(SKETCH)])
+    wide = F.octet_length("line") != F.length("line")
+    n = F.length("line") - SHINGLE_CHARS + 1 + F.when(wide, round(3 * (1 + MIN_SIMILARITY) / (1 - MIN_SIMILARITY))).otherwise(0)
+    flat = _grams(lines, SHINGLE_CHARS, F.col("id"), n.alias("n"), wide.alias("wide"))
+    first = F.substring("bytes", F.col("i"), F.lit(1))
+    flat = flat.where(~F.col("wide") | (first < F.lit(b"\x80")) | (first >= F.lit(b"\xc0")))
+    hashed = flat.select("id", "n", F.xxhash64(F.substring("bytes", F.col("i"), F.lit(SHINGLE_CHARS))).alias("h")).where(F.col("h") > 0)
+    return hashed.select("id", "n", *_bit("h", SKETCH)).groupBy("id").agg(F.max("n").alias("n"), *_bits(SKETCH))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """Rows of ``minima``, and of ``sketches``, where ``sketched``."""
+    keys, drawn = minima(lines).select("id", "keys", F.lit(False).alias("sketched")), sketches(lines).withColumn("sketched", F.lit(True))
+    return keys.unionByName(drawn, allowMissingColumns=True)
 
 
 def bands(signed: DataFrame) -> DataFrame:
@@ -148,33 +175,35 @@ def links(lines: DataFrame, first: DataFrame) -> DataFrame:
 def linked_lines(lines: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The links between different lines, and (node, component) of the lines that they put below another."""
     before = made()
-    signed = materialize(signatures(lines))
+    signed = materialize(minima(lines).select("id", "keys"))
     keyed = bands(signed)
-    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    # both signatures of a line can have a key
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "size"))
     # in these joins one side is large and the other small or unique: hashing the latter spares sorting the former
     members = materialize(keyed.join(shared.hint("shuffle_hash"), "key").select("key", "id", "size"))
     # how crowded a line's bands are: the common form of a group of variants is in more crowded ones than its variants
     crowd = materialize(members.groupBy("id").agg(F.sum("size").alias("crowd")))
-    sketches = materialize(signed.where("sketched").join(crowd.hint("shuffle_hash"), "id", "left_semi").drop("keys", "marked", "sketched"))
-    release_unread(members, before, crowd, sketches)
+    release_unread(members, before, crowd)
     table = materialize(members.join(crowd.hint("shuffle_hash"), "id").select("key", "id", "crowd"))
     leaders = materialize(table.groupBy("key").agg(F.max(F.struct("crowd", "id")).alias("x")).select("key", F.col("x.id").alias("leader")))
     # a leader meets every line of its key, so its row goes
-    met = materialize(table.join(leaders.hint("shuffle_hash"), "key").where("id <> leader").select("key", "id", "leader"))
-    release_unread(sketches, before, met)
-    near = materialize(_near(met.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct(), sketches))
-    texts = _texts(near.select(F.explode(F.array("a", "b")).alias("id")), lines, first)
+    met = materialize(table.join(leaders.hint("shuffle_hash"), "key").where("id <> leader").select("key", "id", "leader").distinct())
+    texts = _texts(crowd.select("id"), lines, first)
+    drawn = materialize(sketches(texts))
+    release_unread(texts, before, met, drawn)
+    near = materialize(_near(met.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct(), drawn))
     found = _judged(near, texts)
-    release_unread(sketches, before, met, found)
+    release_unread(texts, before, met, drawn, found)
     # what the leaders leave: lines of one band that are not in one component yet, and of these the ones whose sketches fit
     linked = connected_components(found)
     rest = materialize(_unsettled(met.select("key", "id"), linked))
-    release_unread(sketches, before, rest, found, linked)
-    fitting = materialize(_fitting(rest, sketches))
-    release_unread(rest, before, found, linked, fitting)
+    release_unread(rest, before, texts, drawn, found, linked)
+    fitting = materialize(_fitting(rest, drawn))
+    release_unread(rest, before, texts, found, linked, fitting)
     if fitting.isEmpty():
         return found, linked
-    texts = _texts(fitting, lines, first)
+    texts = materialize(texts.join(fitting.hint("shuffle_hash"), "id", "left_semi"))
+    release_unread(rest, before, texts, found, linked, fitting)
     pairs = materialize(_pairs(rest.join(fitting, "id", "left_semi"), texts))
     # the most promising pair of each line first: most pairs are in one component after that
     best = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", F.col("x.b").alias("b"))

@@ -453,3 +453,22 @@ def test_sketches_rule_out_no_similar_lines(spark):
     every = list(itertools.combinations(sorted(ids), 2))
     similar = {(a, b) for a, b in every if 5 * len(ids[a] & ids[b]) >= 4 * len(ids[a] | ids[b])}
     assert len(similar) > 100 and similar <= near and len(near) < len(every) / 4
+
+
+def test_unrelated_lines_hardly_share_bands(spark):
+    rng = random.Random(31)
+    syllables = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2)) for _ in range(16)]
+    lines = [" ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(70)) for _ in range(600)]
+    keys = fuzzy_lines.bands(fuzzy_lines.signatures(fuzzy_lines.line_table(table(spark, lines)))).distinct()
+    assert keys.groupBy("key").count().where("count > 1").count() <= 8
+
+
+def test_sampling_keeps_lines_that_repeat_themselves(spark):
+    rng = random.Random(32)
+    texts = []
+    for k in range(12):
+        words = [f"{k}" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(1 + k // 2)]
+        texts += ["\n".join(" ".join(words * n) for n in (40, 90, 700)), "".join(words * 50) + "é" * (k % 2)]
+    got = {r.doc_id: r.text for r in fuzzy_lines.drop_lines(table(spark, texts)).collect()}
+    assert got == dict(enumerate(plain_lines(texts)))
+    assert all(got[i].count("\n") == 0 for i in range(0, len(texts), 2))
