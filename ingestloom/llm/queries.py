@@ -90,5 +90,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_simhash_near_dedup, op3_cover_tree_top_k, op4_line_crf, op5_guess_cost_secrets, op6_pii, op7_mix_sources, op8_repeated_passages, op9_fuzzy_lines, op10_byte_bpe)}
+def op11_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ingestloom.llm import scratch
+    from ingestloom.llm.tokenfile import token_digests, write_tokens
+
+    folder = scratch.folder(spark)
+    write_tokens(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_digests(spark, folder)
+
+
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_simhash_near_dedup, op3_cover_tree_top_k, op4_line_crf, op5_guess_cost_secrets, op6_pii, op7_mix_sources, op8_repeated_passages, op9_fuzzy_lines, op10_byte_bpe, op11_rans_token_files)}
 ORACLE_SQL: dict[str, str] = {"op3_cover_tree_top_k": OP3_SQL}

@@ -54,6 +54,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder(spark: SparkSession) -> str:
+    """A fresh path in the shared folder, for files of an operator's own; it goes with the other tables."""
+    path = f"{scratch_root(spark)}/ingestloom-{uuid.uuid4().hex}"
+    _made.append((spark, path, threading.get_ident()))
+    return path
+
+
 def made() -> set[str]:
     """Paths of the tables that this thread has made and that are still there."""
     return {path for _, path, thread in _made if thread == threading.get_ident()}
