@@ -101,5 +101,33 @@ def op11_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_simhash_near_dedup, op3_cover_tree_top_k, op4_line_crf, op5_guess_cost_secrets, op6_pii, op7_mix_sources, op8_repeated_passages, op9_fuzzy_lines, op10_byte_bpe, op11_rans_token_files)}
-ORACLE_SQL: dict[str, str] = {"op3_cover_tree_top_k": OP3_SQL}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ingestloom.llm.lexical import rank_documents
+
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+with d as (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from documents
+), c as (select doc_id, term, count(*) as tf from d group by all),
+n as (select doc_id, cast(sum(tf) as bigint) as n from c group by doc_id),
+s as (select count(*) as docs, cast(sum(n) as bigint) as terms from n),
+q as (
+    select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark
+), w as (
+    select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / (2 * df + 1))) as bigint) as w
+    from (select term, count(*) as df from c where term in (select term from q) group by term), s
+), scored as (
+    select q.item_id, c.doc_id, cast(sum(w.w * ((1000000000 * c.tf) // (1000 * c.tf + 20 * (50 + ((50 * n.n * s.docs) // s.terms))))) as bigint) as score
+    from q join w using (term) join c using (term) join n using (doc_id), s group by all
+)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+from scored where score > 0 qualify rank <= 50
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_simhash_near_dedup, op3_cover_tree_top_k, op4_line_crf, op5_guess_cost_secrets, op6_pii, op7_mix_sources, op8_repeated_passages, op9_fuzzy_lines, op10_byte_bpe, op11_rans_token_files, op12_ranked_search)}
+ORACLE_SQL: dict[str, str] = {"op3_cover_tree_top_k": OP3_SQL, "op12_ranked_search": OP12_SQL}
