@@ -129,5 +129,46 @@ from scored where score > 0 qualify rank <= 50
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_simhash_near_dedup, op3_cover_tree_top_k, op4_line_crf, op5_guess_cost_secrets, op6_pii, op7_mix_sources, op8_repeated_passages, op9_fuzzy_lines, op10_byte_bpe, op11_rans_token_files, op12_ranked_search)}
-ORACLE_SQL: dict[str, str] = {"op3_cover_tree_top_k": OP3_SQL, "op12_ranked_search": OP12_SQL}
+def op13_prefix_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ingestloom.llm.tries import prefix_nodes
+
+    return prefix_nodes(_table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = """
+with crc_table as (
+    select list(v order by i) as crcs
+    from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1))) as v from (select unnest(range(0, 256)) as i))
+), t as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as nth
+    from conversations where conv_id is not null
+), c as (
+    select conv_id, conv_id - conv_id % 5 as base,
+        xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ord(x) as bigint))), lambda a, x: xor(a >> 8, crcs[(xor(a, x) & 255) + 1]))) % 9 as h
+    from (select distinct conv_id from t), crc_table
+), turns as (
+    select c.conv_id, t.nth, role, text from c join t on t.conv_id = c.base and t.nth <= c.h
+    union all
+    select c.conv_id, t.nth, role, text from c join t on t.conv_id = c.conv_id and t.nth > c.h
+), rebuilt as (
+    select c.conv_id, coalesce(list({'role': role, 'text': text} order by nth) filter (nth is not null), []) as turns from c left join turns using (conv_id) group by c.conv_id
+), steps as (
+    select conv_id, d as depth, turns[1:d] as prefix, len(turns) = d as is_end, coalesce(octet_length(encode(turns[d].text)), 0) as n_bytes
+    from (select conv_id, turns, unnest(range(0, len(turns) + 1)) as d from rebuilt)
+), nodes as (
+    select prefix, depth, min(conv_id) as conv_id, count(*) as n_convs, max(n_bytes) as n_bytes, coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (is_end), '') as ends
+    from steps group by prefix, depth
+), children as (select prefix[1:depth - 1] as prefix, depth - 1 as depth, count(*) as n_children from nodes where depth > 0 group by all),
+below as (
+    select a.prefix, a.depth, sum(case when c.n_children is null then 1 else 0 end) as n_leaves, sum((b.n_convs - 1) * b.n_bytes) as saved
+    from nodes a join nodes b on b.depth >= a.depth and b.prefix[1:a.depth] = a.prefix left join children c on c.prefix = b.prefix and c.depth = b.depth group by a.prefix, a.depth
+)
+select n.conv_id, cast(n.depth as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n_children, 0) as n_children, cast(b.n_leaves as bigint) as n_leaves, cast(b.saved as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
+from nodes n join below b on b.prefix = n.prefix and b.depth = n.depth left join children c on c.prefix = n.prefix and c.depth = n.depth
+left join nodes p on p.depth = n.depth - 1 and p.prefix = n.prefix[1:n.depth - 1]
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_simhash_near_dedup, op3_cover_tree_top_k, op4_line_crf, op5_guess_cost_secrets, op6_pii, op7_mix_sources, op8_repeated_passages, op9_fuzzy_lines, op10_byte_bpe, op11_rans_token_files, op12_ranked_search, op13_prefix_tries)}
+ORACLE_SQL: dict[str, str] = {"op3_cover_tree_top_k": OP3_SQL, "op12_ranked_search": OP12_SQL, "op13_prefix_tries": OP13_SQL}
