@@ -149,6 +149,38 @@ def stream_landing_reordered(spark, sf_dir):
     return store.read(CUSTOMER).select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
 
 
+@query("select c_custkey, c_name || chr(10) || '\"' || c_mktsegment || '\", ' || c_nationkey as c_name, left(c_mktsegment, 8) as c_mktsegment from customer")
+def load_csv_quoted_line_ends(spark, sf_dir):
+    """Every row has a line end, quotes and a comma inside quotes; the files are split all the same."""
+    folder = f"{scratch_folder(spark)}/customer.csv"
+    name = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('", '), F.col("c_nationkey").cast("string"))
+    _t(spark, sf_dir, "customer").select("c_custkey", name.alias("c_name"), "c_mktsegment").write.option("header", True).option("escape", '"').csv(folder)
+    model = TableModel("customer", tuple(c for c in CUSTOMER.columns if c.name != "c_nationkey"), ("c_custkey",))
+    return staging_rows(spark, LoadOptions(model, folder, quote_mode="csv"))
+
+
+@query("""select o_custkey as c_custkey, (array_agg(cast(o_orderkey as varchar) order by o_orderdate, o_orderkey))[1] as c_name, 'x' as c_mktsegment from orders group by o_custkey""")
+def load_csv_many_files(spark, sf_dir):
+    """The first row of a key in file order, over files of uneven sizes whose order is that of their names."""
+    folder = f"{scratch_folder(spark)}/customer.csv"
+    rows = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey").repartitionByRange(10, F.year("o_orderdate"), "o_orderdate", "o_orderkey").sortWithinPartitions("o_orderdate", "o_orderkey")
+    rows.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("c_name"), F.lit("x").alias("c_mktsegment")).write.option("header", True).csv(folder)
+    model = TableModel("customer", tuple(c for c in CUSTOMER.columns if c.name != "c_nationkey"), ("c_custkey",))
+    return staging_rows(spark, LoadOptions(model, folder, dedupe=True))
+
+
+@query("select c_custkey, case when c_custkey = (select max(c_custkey) from customer) then 'Café' else c_name end as c_name, left(c_mktsegment, 8) as c_mktsegment from customer")
+def load_csv_late_latin1(spark, sf_dir):
+    """One byte of the last row says that the files are no UTF-8."""
+    folder = f"{scratch_folder(spark)}/customer.csv"
+    customers = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    last = customers.agg(F.max("c_custkey").alias("last"))
+    name = F.when(F.col("c_custkey") == F.col("last"), F.lit("Café")).otherwise(F.col("c_name"))
+    customers.join(F.broadcast(last)).select("c_custkey", name.alias("c_name"), "c_mktsegment").write.option("header", True).option("encoding", "ISO-8859-1").csv(folder)  # one row is joined
+    model = TableModel("customer", tuple(c for c in CUSTOMER.columns if c.name != "c_nationkey"), ("c_custkey",))
+    return staging_rows(spark, LoadOptions(model, folder))
+
+
 @query("select p_partkey, p_name, p_brand, cast(p_size as bigint) as p_size from part")
 def load_parquet_part(spark, sf_dir):
     return staging_rows(spark, LoadOptions(PART, f"{sf_dir}/part.parquet"))

@@ -1,7 +1,7 @@
 """Files as DataFrames of a table's columns, in file order.
 
-Every reader gives the model's columns that the file has and ``_rownum``, a
-number that grows in file order within and across splits.
+Every reader gives the model's columns that the file has and ``_rownum``, which
+grows with the place of a row in its file; files follow in the order of paths.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import io
 import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 from pathlib import PurePosixPath
 from typing import Protocol
 
@@ -21,11 +22,12 @@ from pyspark.sql import types as T
 from ingestloom.errors import IngestError
 from ingestloom.functions.casting import ColumnRules
 from ingestloom.model import TableModel
-from ingestloom.sources import sniff
+from ingestloom.sources import sniff, splits
 
 log = logging.getLogger(__name__)
 ROWNUM = "_rownum"
 CORRUPT = "_corrupt_record"
+_RECORD = "_record"
 
 
 @dataclass(frozen=True)
@@ -88,8 +90,25 @@ def project(df: DataFrame, model: TableModel) -> DataFrame:
     return df.select(*kept, *[c for c in (ROWNUM,) if c in df.columns])
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    return df.withColumn(ROWNUM, F.monotonically_increasing_id())
+def _file_order(df: DataFrame) -> DataFrame:
+    """Rows numbered by file, in the order of paths, and by their place in what a task reads."""
+    at, path = F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("_path")
+    placed = df.select("*", at, path)
+    files = df.select(at, path).groupBy("_path").agg(F.count("*").alias("n"), F.min("_at").alias("first_at")).orderBy("_path").collect()  # a row a file
+    return _shifted(placed, [(f["_path"], f["n"], f["first_at"]) for f in files])
+
+
+def _parquet_order(df: DataFrame) -> DataFrame:
+    """Rows numbered by file, in the order of paths, and by their place in the file; only footers are read for it."""
+    path = F.col("_metadata.file_path").alias("_path")
+    files = df.select(path).groupBy("_path").agg(F.count("*").alias("n")).orderBy("_path").collect()  # a row a file
+    return _shifted(df.select("*", F.col("_metadata.row_index").alias("_at"), path), [(f["_path"], f["n"], 0) for f in files])
+
+
+def _shifted(placed: DataFrame, files: list[tuple[str, int, int]]) -> DataFrame:
+    before = [0, *accumulate(n for _, n, _ in files)]
+    shifts = placed.sparkSession.createDataFrame([(path, b - first) for (path, _, first), b in zip(files, before, strict=False)], "_path string, _shift long")
+    return placed.join(shifts, "_path").withColumn(ROWNUM, F.col("_at") + F.col("_shift")).drop("_path", "_at", "_shift")
 
 
 class CsvLoader:
@@ -97,8 +116,9 @@ class CsvLoader:
 
     With ``drop_malformed`` rows of more or fewer fields than the header are
     left out; ``malformed`` says how many once an action has read the rows.
-    Files of a folder share one header. Embedded line ends need a reader that does not split files, so it is used
-    only where some line of any file holds a quote and quotes are not literal.
+    Files of a folder share one header. Files are split also where quotes hold line
+    ends (``splits``); the encoding follows from all bytes. Only files in UTF-16 and
+    UTF-32 are read whole, a file a task.
     """
 
     def __init__(self, drop_malformed: bool = False):
@@ -124,17 +144,34 @@ class CsvLoader:
         """All columns of the file as strings, with ``_rownum``."""
         names, delimiter, encoding, mode, head = self.header(spark, options)
         if not names:
-            return _numbered(spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in options.model.file_columns()])))
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("enforceSchema", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        if mode == "literal":
-            reader = reader.option("quote", "")
+            return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in options.model.file_columns()] + [T.StructField(ROWNUM, T.LongType())]))
+        if encoding.startswith(("utf-16", "utf-32")):  # a line feed is no single byte there
+            return self._whole_files(spark, options, names, delimiter, encoding, mode)
+        lines = splits.lines(spark, options.path, "\r" if b"\r" in head and b"\n" not in head else "\n")
+        found = splits.survey(lines)
+        encoding = splits.encoding_of(found, options.encoding)
+        if mode == "csv" and any(s.quoted for s in found):
+            records = splits.quoted_records(lines, found, delimiter, encoding, ROWNUM, _RECORD)
         else:
-            reader = reader.option("quote", '"').option("escape", '"').option("multiLine", b'"' in head or sniff.has_quote(spark, options.path))
+            records = splits.plain_records(lines, found, encoding, ROWNUM, _RECORD)
+        fields = [f"c{k}" for k in range(len(names))]
+        schema = T.StructType([T.StructField(f, T.StringType()) for f in fields] + [T.StructField(CORRUPT, T.StringType())] * self.drop_malformed)
+        parse = {"sep": delimiter, "multiLine": "true", "mode": "PERMISSIVE", "quote": "" if mode == "literal" else '"', "escape": "\\" if mode == "literal" else '"'}
+        parse |= {"columnNameOfCorruptRecord": CORRUPT} if self.drop_malformed else {}
+        parsed = records.select(ROWNUM, F.from_csv(_RECORD, schema.simpleString()[len("struct<") : -1].replace(":", " "), parse).alias("row"))
+        df = parsed.select(*[F.col("row")[f].alias(n) for f, n in zip(fields, names, strict=True)], *[F.col("row")[CORRUPT].alias(CORRUPT)] * self.drop_malformed, ROWNUM)
         if self.drop_malformed:
-            schema = schema.add(CORRUPT, T.StringType())
-            reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-        df = _numbered(reader.schema(schema).csv(options.path))
+            self._seen = Observation()
+            df = df.observe(self._seen, F.count_if(F.col(CORRUPT).isNotNull()).alias("malformed"))
+            df = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        return df
+
+    def _whole_files(self, spark: SparkSession, options: LoadOptions, names: list[str], delimiter: str, encoding: str, mode: str) -> DataFrame:
+        """Wide encodings: a task reads a whole file, so a file's rows are in order; files count by their paths."""
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())] * self.drop_malformed)
+        reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("enforceSchema", True).option("multiLine", True)
+        reader = reader.option("quote", "" if mode == "literal" else '"').option("escape", "\\" if mode == "literal" else '"').option("columnNameOfCorruptRecord", CORRUPT)
+        df = _file_order(reader.schema(schema).csv(options.path))
         if self.drop_malformed:
             self._seen = Observation()
             df = df.observe(self._seen, F.count_if(F.col(CORRUPT).isNotNull()).alias("malformed"))
@@ -163,8 +200,8 @@ class ParquetLoader:
             return self._text.read(spark, options)
         if suffix != ".parquet":
             raise ValueError(f"Unsupported file type: {suffix or options.path}")
-        df = spark.read.parquet(options.path)
-        return project(_numbered(df.toDF(*normalise_header(df.columns, quotes=False))), options.model)
+        df = _parquet_order(spark.read.parquet(options.path))
+        return project(df.toDF(*normalise_header(df.columns[:-1], quotes=False), ROWNUM), options.model)
 
 
 def choose_loader(path: str) -> Loader:

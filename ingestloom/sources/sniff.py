@@ -1,8 +1,9 @@
 """What a delimited file looks like, from its head: encoding, delimiter, quoting, line ends.
 
 The head is read on the driver and through Hadoop's file systems, so that a
-path which only Spark can open works as well. Whether there is a quote at all
-is asked of every file, on the executors.
+path which only Spark can open works as well. What only the whole file can tell
+(an encoding without a mark, whether there is a quote) is asked of all bytes, on
+the executors (``splits``).
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import io
 import logging
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
@@ -38,20 +38,18 @@ def read_head(spark: SparkSession, path: str | list[str], limit: int = QUOTE_BYT
         stream.close()
 
 
-def has_quote(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether a line of any of the files holds a quote; a distributed scan that ends at the first one.
+def infer_encoding(head: bytes) -> str:
+    """By byte order mark; UTF-16 without one by its zero bytes; UTF-8 if the head decodes, else Latin-1.
 
-    The parity of a line's quotes would not do: one inside an unquoted value is plain text.
+    Of the last two a file's other bytes have the say.
     """
-    return not spark.read.text(path).where(F.contains("value", F.lit('"'))).isEmpty()
-
-
-def infer_encoding(head: bytes) -> str:
-    """UTF-16 or UTF-8 by byte order mark, UTF-8 if it decodes, else Latin-1."""
     sample = head[:ENCODING_BYTES]
-    for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
+    for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
         if sample.startswith(mark):
             return name
+    even, odd = sample[::2].count(0), sample[1::2].count(0)
+    if max(even, odd) > len(sample) // 8:  # no text in other encodings has so many
+        return "utf-16le" if odd > even else "utf-16be"
     try:
         codecs.getincrementaldecoder("utf-8")().decode(sample)
     except UnicodeDecodeError:
