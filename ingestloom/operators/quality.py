@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -61,24 +61,43 @@ def observe_failures(cast: DataFrame, model: TableModel, rules: ColumnRules | No
     tracked = [c[len(_FAILED) :] for c in cast.columns if c.startswith(_FAILED)]
     required = [c for c in model.required_columns() if c in cast.columns]
     metrics = [F.count_if(F.col(_FAILED + c)).alias(f"failed_{c}") for c in tracked] + [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in required]
-    observed = cast.observe(seen, F.count("*").alias("rows"), *metrics)
+    complete = reduce(and_, [F.col(c).isNotNull() for c in required], F.lit(True))
+    observed = cast.observe(seen, F.count("*").alias("rows"), F.count_if(complete).alias("complete"), *metrics)
     return observed, seen
 
 
+def observe_rows(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` and an observation of its number of rows that the next action fills."""
+    seen = Observation()
+    return df.observe(seen, F.count("*").alias("rows")), seen
+
+
 def untracked(cast: DataFrame) -> DataFrame:
     return cast.drop(*[c for c in cast.columns if c.startswith((_FAILED, _RAW))])
 
 
-def failure_examples(cast: DataFrame, column: str, n: int = EXAMPLES) -> list[str]:
-    """The first inputs of ``column`` that failed, in file order; a limit, so the driver gets no more."""
-    rows = cast.where(F.col(_FAILED + column)).orderBy(ROWNUM).select(_RAW + column).limit(n).collect()
-    return [r[0] for r in rows]
+def failure_examples(cast: DataFrame, n: int = EXAMPLES) -> DataFrame:
+    """column_name, nth and example: the first ``n`` inputs of every column that failed, in file order.
+
+    One scan for all columns; of a column a task sends ``n`` rows at most.
+    """
+    tracked = [c[len(_FAILED) :] for c in cast.columns if c.startswith(_FAILED)]
+    some = [F.when(F.col(_FAILED + c), F.struct(F.lit(c).alias("column_name"), F.col(ROWNUM).alias("_at"), F.col(_RAW + c).alias("example"))) for c in tracked]
+    if not some:
+        return cast.sparkSession.createDataFrame([], "column_name string, nth int, example string")
+    failed = cast.select(F.explode(F.filter(F.array(*some), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    nth = F.row_number().over(Window.partitionBy("column_name").orderBy("_at"))
+    return failed.withColumn("nth", nth).where(F.col("nth") <= n).select("column_name", "nth", "example")
 
 
 def collect_stats(cast: DataFrame, seen: dict, model: TableModel, rules: ColumnRules | None = None) -> CastStats:
     counts = {k[len("failed_") :]: v for k, v in seen.items() if k.startswith("failed_")}
     recorded = frozenset(c.name for c in model.insertable if c.kind in RECORDED_KINDS or (rules and rules.get(model.name, c.name)))
-    return CastStats(model.name, counts, {c: failure_examples(cast, c) for c, n in counts.items() if n}, recorded)
+    examples: dict[str, list[str]] = {}
+    if any(counts.values()):
+        for row in failure_examples(cast).orderBy("column_name", "nth").collect():  # EXAMPLES rows a column at most
+            examples.setdefault(row.column_name, []).append(row.example)
+    return CastStats(model.name, counts, examples, recorded)
 
 
 def failure_table(cast: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ingestloom.model import TableModel
 from ingestloom.operators import merge, quality
 from ingestloom.plans.settings import resolve_index_strategy
-from ingestloom.plans.store import VersionedStore
+from ingestloom.plans.store import TableStore
 from ingestloom.sources.readers import ROWNUM, CsvLoader, Loader, LoadOptions, check_file_name, choose_loader, require_columns
 
 log = logging.getLogger(__name__)
@@ -41,7 +41,7 @@ class LoadResult:
 
 
 @contextmanager
-def bulk_load(store: VersionedStore, *staging: str) -> Iterator[VersionedStore]:
+def bulk_load(store: TableStore, *staging: str) -> Iterator[TableStore]:
     """Staging folders go, whatever happens; a table that was not switched stays as it was."""
     try:
         yield store
@@ -61,13 +61,15 @@ def prepare(df: DataFrame, options: LoadOptions) -> tuple[DataFrame, DataFrame]:
     return cast, rows
 
 
-def load_file(spark: SparkSession, store: VersionedStore, model: TableModel, path: str, loader: Loader | None = None, **options) -> LoadResult:
+def load_file(spark: SparkSession, store: TableStore, model: TableModel, path: str, loader: Loader | None = None, **options) -> LoadResult:
     """Loads a file named after the table into it.
 
     Arguments are checked before anything is read. ``fast`` reads delimited
     text without null words, rules or de-duplication, and falls back to the
     usual path when that fails. Repeated keys in the staged rows are an error
-    for every strategy but upsert, which takes the first.
+    for every strategy but upsert, which takes the first. ``load`` names the load
+    for stores that merge in steps: the same file loaded again under the name of a
+    load that was stopped goes on behind its last step.
     """
     opts = LoadOptions(model, path, **options)
     check_file_name(model, path)
@@ -76,8 +78,7 @@ def load_file(spark: SparkSession, store: VersionedStore, model: TableModel, pat
     if opts.quote_mode not in ("auto", "csv", "literal", "by_delimiter"):
         raise ValueError(f"unknown quote mode {opts.quote_mode!r}")
     result = LoadResult()
-    empty = store.is_empty(model)
-    if opts.merge_strategy == "insert_if_empty" and not empty:
+    if opts.merge_strategy == "insert_if_empty" and opts.load is None and not store.is_empty(model):
         raise ValueError("insert_if_empty needs an empty target")
     loader = loader or choose_loader(path)
     with bulk_load(store, opts.staging_name, f"{opts.staging_name}_cast"):
@@ -89,19 +90,13 @@ def load_file(spark: SparkSession, store: VersionedStore, model: TableModel, pat
         if result.rows == 0:
             return result
         with result.phase("merge"):
-            target = store.read(model)
-            computed = [c.name for c in model.columns if c.computed is not None]
             if opts.merge_strategy != "upsert" and model.primary_key:
                 merge.check_unique(staged, model.key())
-            if model.primary_key:
-                merged = merge.plan(target.drop(*computed), staged, model.key(), opts.merge_strategy, empty)
-            else:
-                merged = merge.insert(target.drop(*computed), staged)
-            store.write(model, merged, opts.merge_batch_size)
+            store.merge_rows(model, staged, opts.merge_strategy, opts.merge_batch_size, opts.load)
     return result
 
 
-def _stage(spark: SparkSession, store: VersionedStore, loader: Loader, opts: LoadOptions, result: LoadResult) -> DataFrame:
+def _stage(spark: SparkSession, store: TableStore, loader: Loader, opts: LoadOptions, result: LoadResult) -> DataFrame:
     if opts.fast and isinstance(loader, CsvLoader):
         try:
             plain = replace(opts, normalise=False, dedupe=False, rules=None)
@@ -111,7 +106,7 @@ def _stage(spark: SparkSession, store: VersionedStore, loader: Loader, opts: Loa
     return _stage_rows(store, loader.read(spark, opts), opts, result)
 
 
-def _stage_rows(store: VersionedStore, source: DataFrame, opts: LoadOptions, result: LoadResult) -> DataFrame:
+def _stage_rows(store: TableStore, source: DataFrame, opts: LoadOptions, result: LoadResult) -> DataFrame:
     require_columns(opts.model, source.columns)
     cast = quality.cast_rows(source, opts.model, opts.rules, opts.normalise)
     observed, seen = quality.observe_failures(cast, opts.model, opts.rules)
@@ -120,10 +115,11 @@ def _stage_rows(store: VersionedStore, source: DataFrame, opts: LoadOptions, res
     result.stats = quality.collect_stats(kept, found, opts.model, opts.rules)
     result.nulls = {k[len("null_") :]: v for k, v in found.items() if k.startswith("null_") and v}
     rows = quality.drop_incomplete(quality.untracked(kept), opts.model.required_columns())
+    result.rows = found["complete"]
     if opts.dedupe and opts.model.primary_key:
-        rows = quality.first_per_key(rows, opts.model.key())
+        rows, counted = quality.observe_rows(quality.first_per_key(rows, opts.model.key()))
         rows = store.stage(opts.staging_name, rows)
-    result.rows = rows.count()
+        result.rows = counted.get["rows"]
     return rows
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -52,7 +53,25 @@ def quote_identifier(name: str, schema: str | None = None) -> str:
     return ".".join("`" + p.replace("`", "``") + "`" for p in parts)
 
 
+#: Sessions and paths of scratch folders that there are.
+_scratch: list[tuple[SparkSession, str]] = []
+
+
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder below the one that the cluster shares; a local one only where none is named."""
+    """A fresh folder below the one that the cluster shares; a local one only where none is named. It goes when the program ends."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(named or tempfile.mkdtemp(prefix='ingestloom-')).rstrip('/')}/ingestloom-{uuid.uuid4().hex}"
+    path = f"{(named or tempfile.mkdtemp(prefix='ingestloom-')).rstrip('/')}/ingestloom-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+@atexit.register
+def drop_scratch_folders() -> None:
+    """Deletes the scratch folders, as far as their sessions are alive."""
+    while _scratch:
+        spark, path = _scratch.pop()
+        try:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the session has ended; nothing can be deleted through it
+            return

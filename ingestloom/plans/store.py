@@ -27,7 +27,19 @@ class TableStore(Protocol):
 
     def read(self, model: TableModel) -> DataFrame: ...
 
-    def write(self, model: TableModel, df: DataFrame) -> None: ...
+    def write(self, model: TableModel, df: DataFrame, max_records_per_file: int | None = None) -> None: ...
+
+    def merge_rows(self, model: TableModel, staged: DataFrame, strategy: str, batch_rows: int | None = None, load: str | None = None): ...
+
+    def stage(self, name: str, df: DataFrame) -> DataFrame: ...
+
+    def drop(self, name: str) -> None: ...
+
+    def is_empty(self, model: TableModel) -> bool: ...
+
+    def write_rows(self, name: str, df: DataFrame, max_records_per_file: int | None = None) -> None: ...
+
+    def read_rows(self, name: str) -> DataFrame: ...
 
 
 class Files:
@@ -106,6 +118,18 @@ class VersionedStore:
     def is_empty(self, model: TableModel) -> bool:
         return not self.exists(model.name) or self.read(model).isEmpty()
 
+    def read_rows(self, name: str) -> DataFrame:
+        path = self.current(name)
+        if path is None:
+            raise ValueError(f"{name} does not exist")
+        return self.spark.read.parquet(path)
+
+    def merge_rows(self, model: TableModel, staged: DataFrame, strategy: str, batch_rows: int | None = None, load: str | None = None) -> None:
+        """One plan; the table's next version is written whole."""
+        from ingestloom.plans.catalog import merge_whole
+
+        merge_whole(self, model, staged, strategy, batch_rows)
+
     def write(self, model: TableModel, df: DataFrame, max_records_per_file: int | None = None) -> None:
         """The next version: the model's columns in order, absent ones null, computed ones evaluated."""
         self.write_rows(model.name, with_computed(df, model), max_records_per_file)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ingestloom.plans.settings import Capabilities
-from ingestloom.plans.store import VersionedStore
+from ingestloom.plans.store import TableStore
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ def refresh_order(views: Sequence[MaterializedView]) -> list[MaterializedView]:
 class ViewStore:
     """Views written to a store; each is registered under its name for others to read."""
 
-    def __init__(self, spark: SparkSession, store: VersionedStore, capabilities: Capabilities | None = None):
+    def __init__(self, spark: SparkSession, store: TableStore, capabilities: Capabilities | None = None):
         self.spark, self.store = spark, store
         self.capabilities = capabilities or Capabilities()
 
@@ -66,7 +66,6 @@ class ViewStore:
         return [v.name for v in order]
 
     def read(self, view: MaterializedView) -> DataFrame:
-        path = self.store.current(view.name)
-        if path is None:
+        if not self.store.exists(view.name):
             raise ValueError(f"view {view.name} does not exist")
-        return self.spark.read.parquet(path)
+        return self.store.read_rows(view.name)

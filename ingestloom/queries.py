@@ -12,6 +12,8 @@ from ingestloom.functions.nulls import null_if_sentinel
 from ingestloom.functions.serial import row_fingerprint, row_json
 from ingestloom.model import ColumnModel, TableModel
 from ingestloom.operators import ids, merge, quality, references
+from ingestloom.plans.buckets import BucketedStore
+from ingestloom.plans.catalog import resolve_store
 from ingestloom.plans.ingest import load_file, staging_rows
 from ingestloom.plans.settings import scratch_folder
 from ingestloom.plans.store import VersionedStore
@@ -422,6 +424,83 @@ def merge_empty_reroute(spark, sf_dir):
     return merge.plan(target.where("false"), staged, ["o_orderkey"], "replace", True)
 
 
+ORDER = TableModel("orders", (ColumnModel("o_orderkey", "integer"), ColumnModel("o_custkey", "integer"), ColumnModel("o_orderstatus"), ColumnModel("o_totalprice", "float")), ("o_orderkey",))
+_BIGINTS = "select cast(o_orderkey as bigint) as o_orderkey, cast(o_custkey as bigint) as o_custkey, o_orderstatus, cast(o_totalprice as double) as o_totalprice from "
+
+
+def _merged_in_steps(spark, sf_dir, kind, strategy):
+    store = resolve_store(spark, kind, scratch_folder(spark))
+    target, staged = _sides(spark, sf_dir)
+    store.write(ORDER, target)
+    store.merge_rows(ORDER, staged.withColumn(ROWNUM, F.lit(0)), strategy, batch_rows=max(1, staged.count() // 5))
+    return store.read(ORDER)
+
+
+@query(_BIGINTS + f"(with t as ({_TARGET}), s as ({_STAGED}) select * from t where not exists (select 1 from s where s.o_orderkey = t.o_orderkey) union all select * from s)")
+def merge_batched(spark, sf_dir):
+    """A replace in steps of ranges of buckets, each committed for itself."""
+    return _merged_in_steps(spark, sf_dir, "bucketed", "replace")
+
+
+@query(_BIGINTS + f"(with t as ({_TARGET}), s as ({_STAGED}) select * from t union all select * from s where not exists (select 1 from t where s.o_orderkey = t.o_orderkey))")
+def merge_batched_upsert(spark, sf_dir):
+    return _merged_in_steps(spark, sf_dir, "bucketed", "upsert")
+
+
+@query(_BIGINTS + "(select o_orderkey, o_custkey, o_orderstatus, case when o_orderkey > (select max(o_orderkey) - 100 from orders) then o_totalprice + 1 else o_totalprice end as o_totalprice from orders)")
+def merge_resumed(spark, sf_dir):
+    """Later keys are appended beside what is there; then a load of the last keys is stopped after a step and goes on."""
+    store = BucketedStore(spark, scratch_folder(spark))
+    orders = _t(spark, sf_dir, "orders").select(*_ORDER_COLUMNS).withColumn(ROWNUM, F.lit(0))
+    middle = orders.agg(F.max("o_orderkey").alias("last")).first()["last"] // 2
+    store.merge_rows(ORDER, orders.where(F.col("o_orderkey") <= middle), "replace")
+    store.merge_rows(ORDER, orders.where(F.col("o_orderkey") > middle), "upsert")
+    newest = orders.join(F.broadcast(orders.agg((F.max("o_orderkey") - 100).alias("after"))), F.col("o_orderkey") > F.col("after")).drop("after")  # one row is joined
+    newest = newest.withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    put, store._put_state = store._put_state, _Stops(store._put_state, 2)
+    try:
+        store.merge_rows(ORDER, newest, "replace", batch_rows=10, load="newest")
+    except InterruptedError:
+        store._put_state = put
+    store.merge_rows(ORDER, newest, "replace", batch_rows=10, load="newest")
+    return store.read(ORDER)
+
+
+class _Stops:
+    """Calls a function a number of times, then fails as a killed driver would."""
+
+    def __init__(self, function, times: int):
+        self.function, self.left = function, times
+
+    def __call__(self, *args):
+        if not self.left:
+            raise InterruptedError
+        self.left -= 1
+        self.function(*args)
+
+
+@query("select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, left(c_mktsegment, 8) as c_mktsegment from customer")
+def load_into_catalog(spark, sf_dir):
+    """The whole load into a bucketed table of Spark's catalog."""
+    root = scratch_folder(spark)
+    _t(spark, sf_dir, "customer").write.option("header", True).csv(f"{root}/in/customer.csv")
+    store = resolve_store(spark, "catalog", "loads_" + root.rsplit("-", 1)[-1])
+    load_file(spark, store, CUSTOMER, f"{root}/in/customer.csv", dedupe=True)
+    load_file(spark, store, CUSTOMER, f"{root}/in/customer.csv", merge_strategy="upsert")
+    return store.read(CUSTOMER).select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+
+
+@query("select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, left(c_mktsegment, 8) as c_mktsegment from customer")
+def load_into_buckets(spark, sf_dir):
+    """The whole load into a store of buckets."""
+    root = scratch_folder(spark)
+    _t(spark, sf_dir, "customer").write.option("header", True).csv(f"{root}/in/customer.csv")
+    store = resolve_store(spark, "bucketed", f"{root}/tables")
+    load_file(spark, store, CUSTOMER, f"{root}/in/customer.csv", dedupe=True, merge_batch_size=500)
+    load_file(spark, store, CUSTOMER, f"{root}/in/customer.csv", merge_batch_size=500)
+    return store.read(CUSTOMER).select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+
+
 @query("select l_orderkey, l_linenumber, count(*) as n_rows from lineitem group by all having count(*) > 1")
 def pk_duplicates(spark, sf_dir):
     return merge.repeated_keys(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -630,5 +709,4 @@ def cast_failure_examples(spark, sf_dir):
     """The first inputs that failed a cast, in order."""
     model = TableModel("m", (ColumnModel("s", "integer"),), ())
     cast = quality.cast_rows(_messy(spark, sf_dir).withColumn(ROWNUM, F.col("o_orderkey")), model)
-    found = quality.failure_examples(cast, "s")
-    return spark.createDataFrame([(x, n) for n, x in enumerate(found, 1)], "example string, nth int")
+    return quality.failure_examples(cast).select("example", "nth")

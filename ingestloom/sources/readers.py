@@ -48,6 +48,7 @@ class LoadOptions:
     rules: ColumnRules | None = None
     encoding: str | None = None
     delimiter: str | None = None
+    load: str | None = None
 
     @property
     def staging_name(self) -> str:
