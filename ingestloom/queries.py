@@ -18,7 +18,7 @@ from ingestloom.plans.ingest import load_file, staging_rows
 from ingestloom.plans.settings import scratch_folder
 from ingestloom.plans.store import VersionedStore
 from ingestloom.plans.views import MaterializedView, ViewStore
-from ingestloom.registry import validators
+from ingestloom.registry import observed, validators
 from ingestloom.registry.specs import FieldSpec, ModelCatalog
 from ingestloom.sources.readers import ROWNUM, LoadOptions, ParquetLoader
 from ingestloom.streaming.landing import watch
@@ -554,16 +554,61 @@ def row_json_only(spark, sf_dir):
 
 # --- validation ------------------------------------------------------------------
 
+# What a specification says of the given tables: (table, field, required, in the key, reference, its table and field).
 _SPEC_ROWS = (
     ("customer", "c_custkey", True, True, False, None, None), ("customer", "c_name", True, False, False, None, None), ("customer", "c_phone", False, False, False, None, None), ("customer", "c_nationkey", True, False, True, "nation", "n_nationkey"),
-    ("orders", "o_orderkey", True, False, False, None, None), ("orders", "o_custkey", True, False, False, None, None),
-    ("lineitem", "l_orderkey", True, True, False, None, None), ("lineitem", "l_linenumber", True, True, False, None, None), ("nation", "n_nationkey", True, True, False, None, None),
-)
-_MODEL_ROWS = (
-    ("customer", "c_custkey", False, True, None, None), ("customer", "c_name", True, False, None, None), ("customer", "c_nationkey", True, False, "nation", "n_nationkey"),
-    ("orders", "o_orderkey", False, True, None, None), ("orders", "o_custkey", False, False, "customer", "c_custkey"),
-    ("lineitem", "l_orderkey", False, True, None, None), ("lineitem", "l_partkey", False, True, None, None), ("nation", "n_nationkey", True, False, None, None),
+    ("supplier", "s_suppkey", True, True, False, None, None), ("supplier", "s_nationkey", True, False, True, "nation", "n_nationkey"), ("part", "p_partkey", True, True, False, None, None), ("part", "p_size", True, False, False, None, None),
+    ("orders", "o_orderkey", True, False, False, None, None), ("orders", "o_custkey", True, False, False, None, None), ("orders", "o_clerk", False, False, False, None, None),
+    ("lineitem", "l_orderkey", True, True, False, None, None), ("lineitem", "l_linenumber", True, True, False, None, None), ("nation", "n_nationkey", True, True, False, None, None), ("region", "r_name", True, True, False, None, None),
 )
+#: Keys and references to look for in the given tables.
+_KEYS = {"lineitem": ("l_orderkey", "l_linenumber"), "customer": ("c_custkey",), "orders": ("o_orderkey",), "part": ("p_partkey",), "supplier": ("s_suppkey",), "nation": ("n_nationkey",), "region": ("r_regionkey",)}
+_LINKS = {
+    ("customer", "c_nationkey"): ("nation", "n_nationkey"), ("supplier", "s_nationkey"): ("nation", "n_nationkey"), ("nation", "n_regionkey"): ("region", "r_regionkey"),
+    ("orders", "o_custkey"): ("customer", "c_custkey"), ("lineitem", "l_orderkey"): ("orders", "o_orderkey"), ("lineitem", "l_partkey"): ("part", "p_partkey"), ("lineitem", "l_suppkey"): ("supplier", "s_suppkey"),
+}
+_COLUMNS = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"),
+}
+
+
+def _described(spark, sf_dir):
+    """Models of the given tables as they are stored; some orders and parts get nulls, and some lines no order."""
+    tables = {name: _t(spark, sf_dir, name).select(*columns) for name, columns in _COLUMNS.items()}
+    tables["orders"] = tables["orders"].withColumn("o_custkey", F.expr("case when o_orderkey % 97 <> 0 then o_custkey end"))
+    tables["part"] = tables["part"].withColumn("p_size", F.expr("case when p_partkey % 89 <> 0 then p_size end"))
+    tables["lineitem"] = tables["lineitem"].withColumn("l_suppkey", F.expr("case when l_orderkey % 83 = 0 then -1 else l_suppkey end"))
+    return observed.describe_tables(tables, _KEYS, _LINKS)
+
+
+_STORED = """orders_ as (select * replace (case when o_orderkey % 97 <> 0 then o_custkey end as o_custkey) from orders),
+ part_ as (select * replace (case when p_partkey % 89 <> 0 then p_size end as p_size) from part),
+ lineitem_ as (select * replace (case when l_orderkey % 83 = 0 then -1 else l_suppkey end as l_suppkey) from lineitem)"""
+
+
+def _stored(table: str) -> str:
+    return f"{table}_" if table in ("orders", "part", "lineitem") else table
+
+
+def _observed_sql() -> str:
+    """A row for each column of the stored tables, as SQL."""
+    parts = []
+    for table, columns in _COLUMNS.items():
+        at, n = _stored(table), len(_KEYS[table])
+        whole = "(" + ", ".join(_KEYS[table]) + ")"
+        is_key = lambda key: f"(select count(*) = count(distinct {key}) and count(*) > 0 from {at})"
+        named = f"({is_key(whole if n > 1 else _KEYS[table][0])} and (select count(*) filter ({' or '.join(c + ' is null' for c in _KEYS[table])}) = 0 from {at}))"
+        for k, column in enumerate(columns):
+            earlier = " and ".join([f"not {is_key(c)}" for c in columns[:k]]) or "true"
+            key = f"case when {named} then {'true' if column in _KEYS[table] else 'false'} else {is_key(column)} and {earlier} end"
+            link = _LINKS.get((table, column))
+            held = f"not exists (select 1 from {at} x where x.{column} is not null and x.{column} not in (select {link[1]} from {_stored(link[0])} where {link[1]} is not null))" if link else "false"
+            fk_table, fk_field = (f"case when {held} then '{x}' end" for x in link or ("", ""))
+            kind = f"(select case when typeof({column}) in ('BIGINT', 'INTEGER') then 'integer' when typeof({column}) in ('DOUBLE', 'FLOAT') then 'float' when typeof({column}) like 'TIMESTAMP%' then 'datetime' when typeof({column}) = 'VARCHAR' then 'string' end from {at} limit 1)"
+            parts.append(f"select '{table}' as tbl, '{column}' as fld, (select count(*) > count({column}) from {at}) as nullable, {key} as is_pk, {fk_table} as fk_table, {fk_field} as fk_field, {kind} as kind")
+    return " union all ".join(parts)
 
 
 def _values(rows) -> str:
@@ -571,40 +616,53 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(map(spell, r)) + ")" for r in rows)
 
 
-_CTES = f"""with spec(tbl, fld, required, is_pk, is_fk, fk_table, fk_field) as (values {_values(_SPEC_ROWS)}),
- model(tbl, fld, nullable, is_pk, fk_table, fk_field) as (values {_values(_MODEL_ROWS)}) """
+_CTES = f"""with {_STORED}, spec(tbl, fld, required, is_pk, is_fk, fk_table, fk_field) as (values {_values(_SPEC_ROWS)}),
+ model as materialized ({_observed_sql()}) """
 
 
-def catalog() -> ModelCatalog:
-    """The specification and models of the validation queries."""
-    models = {}
-    for table, name, nullable, key, fk_table, fk_field in _MODEL_ROWS:
-        columns, keys, references_ = models.setdefault(table, ([], [], {}))
-        columns.append(ColumnModel(name, "integer", nullable=nullable))
-        if key:
-            keys.append(name)
-        if fk_table:
-            references_[name] = (fk_table, fk_field)
-    out = ModelCatalog("demo")
+def catalog(models) -> ModelCatalog:
+    """The specification and given models."""
+    out = ModelCatalog("given tables")
     for table, name, required, key, fk, fk_table, fk_field in _SPEC_ROWS:
         out.fields.setdefault(table, {})[name] = FieldSpec(table, name, required, "integer", key, fk, fk_table, fk_field)
-    out.register(*[TableModel(t, tuple(c), tuple(k), r) for t, (c, k, r) in models.items()])
+    out.register(*models)
     return out
 
 
-def _frames(spark):
-    c = catalog()
-    return c.spec_frame(spark), c.model_frame(spark)
+def _frames(spark, sf_dir):
+    models = _described(spark, sf_dir)
+    return catalog(models).spec_frame(spark), observed.observed_frame(spark, models)
+
+
+@query(_CTES + 'select tbl as "table", fld as field, nullable, is_pk, fk_table, fk_field, kind from model')
+def describe_stored_tables(spark, sf_dir):
+    """Columns, types, nulls, keys and references of the stored tables."""
+    return observed.observed_frame(spark, _described(spark, sf_dir))
+
+
+_DECLARED = (CUSTOMER, PART, TableModel("orders", (ColumnModel("o_orderkey", "string"), ColumnModel("o_totalprice", "integer"), ColumnModel("o_orderdate", "date"), ColumnModel("o_orderpriority", "integer"), ColumnModel("o_clerk"))))
+_DECLARED_ROWS = [(m.name, c.name, c.kind) for m in _DECLARED for c in m.insertable]
+
+
+@query(
+    _CTES
+    + f""", declared(tbl, fld, kind) as (values {_values(_DECLARED_ROWS)}), wider(narrow, wide) as (values ('integer', 'float'), ('integer', 'string'), ('float', 'string'), ('datetime', 'string'))
+ select d.tbl as "table", d.fld as field, coalesce(m.kind, 'absent') as stored, d.kind as declared from declared d left join model m on m.tbl = d.tbl and m.fld = d.fld
+ where coalesce(m.kind, 'absent') <> d.kind and not exists (select 1 from wider w where w.narrow = m.kind and w.wide = d.kind)"""
+)
+def stored_type_differences(spark, sf_dir):
+    """Stored columns whose values a declared type cannot hold."""
+    return spark.createDataFrame(observed.type_differences(_described(spark, sf_dir), _DECLARED), "table string, field string, stored string, declared string")
 
 
 @query(_CTES + 'select s.tbl as "table", s.fld as field from spec s where s.tbl in (select tbl from model) and not exists (select 1 from model m where m.tbl = s.tbl and m.fld = s.fld)')
 def spec_missing_columns(spark, sf_dir):
-    return validators.missing_columns(*_frames(spark))
+    return validators.missing_columns(*_frames(spark, sf_dir))
 
 
 @query(_CTES + 'select s.tbl as "table", s.fld as field from spec s join model m on m.tbl = s.tbl and m.fld = s.fld where s.required and m.nullable')
 def spec_required_nullable(spark, sf_dir):
-    return validators.nullable_required(*_frames(spark))
+    return validators.nullable_required(*_frames(spark, sf_dir))
 
 
 @query(
@@ -616,12 +674,12 @@ def spec_required_nullable(spark, sf_dir):
  union all select tbl, null, 'COMPOSITE_PRIMARY_KEY' from ours group by tbl having count(*) > 1"""
 )
 def spec_pk_mismatch(spark, sf_dir):
-    return validators.key_mismatches(*_frames(spark))
+    return validators.key_mismatches(*_frames(spark, sf_dir))
 
 
 @query(_CTES + 'select m.tbl as "table", m.fld as field from model m where m.fk_table is not null and not exists (select 1 from spec s where s.is_fk and m.tbl = s.tbl and m.fld = s.fld)')
 def spec_fk_not_in_spec(spark, sf_dir):
-    return validators.unspecified_references(*_frames(spark))
+    return validators.unspecified_references(*_frames(spark, sf_dir))
 
 
 @query(
@@ -637,7 +695,7 @@ def spec_fk_not_in_spec(spark, sf_dir):
  select level, count(*) as n_issues from found group by level"""
 )
 def validation_summary(spark, sf_dir):
-    report = validators.run_validators(catalog())
+    report = validators.run_validators(catalog(_described(spark, sf_dir)))
     return report.to_df(spark).groupBy("level").agg(F.count("*").alias("n_issues"))
 
 
