@@ -3,15 +3,16 @@
 Unigrams and bigrams of lower-cased tokens (runs of word bytes, runs of marks)
 are hashed into a fixed number of buckets. One generative model is counted over
 all documents, one over a bounded sample of documents labelled good. A
-document's log weight is the mean log ratio of its n-grams, shrunk towards 0 for
-short documents, times a reference length, so that documents of all lengths
-compete alike. The documents are sampled by Gumbel top-k: each log weight gets
-a Gumbel draw that depends on the doc_id and the seed alone, and the k largest
-stay. k is the number of documents whose weight lies above the threshold that
-separates the labelled documents best, so it follows the corpus.
+document's log weight is the sum of the log ratios of its n-grams: of the
+probability of its n-grams under the target model over that under the raw one.
+The documents are sampled by Gumbel top-k: each log weight gets a Gumbel draw
+that depends on the doc_id and the seed alone, and the k largest stay, which is
+a sample without replacement in proportion to the weights. k is a share of the
+corpus: a parameter, by default the share of good documents among the labels.
 
 Defined results: null and empty text has no n-grams and log weight 0. Without
-labels of both kinds nothing can be told apart and every document stays. Rows tied at the cut all stay. Repeated
+a good label there is no target and every document stays. Rows tied at the cut
+all stay. Repeated
 rows are scored alike. Extra columns are dropped by ``select_documents`` and
 kept by ``filter_documents``,
 whatever their names. Very long texts are scored whole. An empty table gives an empty result.
@@ -20,6 +21,7 @@ whatever their names. Very long texts are scored whole. An empty table gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,6 @@ BUCKETS = 1 << 17
 #: Labelled documents that are fitted on, at most: those with the least hashes.
 MAX_LABELLED = 20_000
 SMOOTHING = 1.0
-#: n-grams with log ratio 0 that every document is given besides its own.
-PRIOR_NGRAMS = 80
-#: n-grams of the document length at which weights are compared.
-REFERENCE_NGRAMS = 256
 #: Scale of the Gumbel draws; 1 samples in proportion to the weights, less is nearer to the k largest.
 TEMPERATURE = 1.0
 SEED = 11
@@ -79,19 +77,24 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def sample_labels(labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[dict[bool, np.ndarray], np.ndarray]:
-    """doc_ids of good and of poor quality, ``limit`` in all at most, and apart from them those that the target model is fitted on.
+@dataclass(frozen=True)
+class Labelled:
+    """doc_ids of a bounded sample of labels: good and poor ones that are held out, and good ones that the target model is fitted on."""
 
-    Every other good document is fitted on (unless it is toxic), the rest are
-    held out: a document scores higher under a model that has counted it, so
-    the threshold must not be read from fitted ones.
-    """
+    good: np.ndarray
+    poor: np.ndarray
+    fitted: np.ndarray
+    share: float  #: of good documents among the sample
+
+
+def sample_labels(labels: DataFrame, limit: int = MAX_LABELLED) -> Labelled:
+    """``limit`` labels at most. Every other good document is fitted on, unless it is toxic; a document scores higher under a model that has counted it."""
     rows = labels.where("doc_id is not null and quality is not null").select("doc_id", (F.col("quality") == 1).alias("good"), (F.coalesce(F.col("toxic"), F.lit(0)) == 0).alias("clean"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "good", "clean").limit(limit).collect()
     good = [r for r in rows if r.good]
     fitted = np.unique(np.array([r.doc_id for r in good[::2] if r.clean], np.int64))
     held = np.setdiff1d(np.array([r.doc_id for r in good[1::2]], np.int64), fitted)
-    return {True: held, False: np.unique(np.array([r.doc_id for r in rows if not r.good], np.int64))}, fitted
+    return Labelled(held, np.unique(np.array([r.doc_id for r in rows if not r.good], np.int64)), fitted, len(good) / max(len(rows), 1))
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -131,32 +134,24 @@ def score_documents(docs: DataFrame, ratios: np.ndarray, ngrams: str = "_ngrams"
             for part in blocks(batch):
                 grams, rows = ngram_buckets(part.column("text"), len(table))
                 counts = np.bincount(rows, minlength=part.num_rows)
-                weights = np.bincount(rows, weights=table[grams], minlength=part.num_rows) / (counts + PRIOR_NGRAMS) * REFERENCE_NGRAMS
+                weights = np.bincount(rows, weights=table[grams], minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64()), pa.array(weights, pa.float64())], names=[*part.schema.names, ngrams, weight])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ngrams, LongType()), StructField(weight, DoubleType())]))
 
 
-def _threshold(scores: DataFrame, ids: dict[bool, np.ndarray]) -> float:
-    """The weight that separates held-out good documents from poor ones with the least weighted error."""
-    if not len(ids[True]) or not len(ids[False]):
-        return -np.inf
+def held_out_error(scores: DataFrame, sample: Labelled, cut: float) -> tuple[float, float]:
+    """A report: the shares of held-out good documents below ``cut`` and of poor ones above it."""
     spark = scores.sparkSession
-    marked = spark.createDataFrame([(int(i), kind) for kind, some in ids.items() for i in some], "id long, good boolean")
-    found = scores.join(F.broadcast(marked), scores["doc_id"] == marked["id"]).groupBy("id", "good").agg(F.max("_weight").alias("w")).collect()  # bounded by the sample
-    good, other = (np.sort([r.w for r in found if r.good is kind]) for kind in (True, False))
-    if not len(good) or not len(other):
-        return -np.inf
-    cuts = np.unique(np.concatenate([other, good]))
-    cuts = np.concatenate([cuts, (cuts[1:] + cuts[:-1]) / 2])
-    error = LOSS_OF_GOOD * np.searchsorted(good, cuts, side="left") / len(good) + 1 - np.searchsorted(other, cuts, side="left") / len(other)
-    best = cuts[error <= error.min() + 1e-12]
-    return float(best.min())
-
-
-def gumbel(doc_id: F.Column, seed: int = SEED) -> F.Column:
+    marked = spark.createDataFrame([(int(i), kind) for kind, some in ((True, sample.good), (False, sample.poor)) for i in some], "id long, good boolean")
+    found = scores.join(F.broadcast(marked), scores["doc_id"] == marked["id"])  # as many rows as the sample
+    row = found.agg(F.avg(F.when(F.col("good"), (F.col("_weight") < F.lit(cut)).cast("int"))), F.avg(F.when(~F.col("good"), (F.col("_weight") >= F.lit(cut)).cast("int")))).first()
+    return row[0] or 0.0, row[1] or 0.0
+
+
+def gumbel(doc_id: F.Column, seed: int | F.Column = SEED) -> F.Column:
     """A standard Gumbel draw that depends on doc_id and seed alone."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(-1).cast("long")), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(-1).cast("long")), F.lit(seed).cast("int")), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(-F.log(uniform))
 
 
@@ -183,18 +178,20 @@ def _drawn(temperature: float, seed: int, weight: str = "_weight") -> F.Column:
     return F.col(weight) + temperature * gumbel(F.col("doc_id"), seed)
 
 
-def fit(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, seed: int = SEED, limit: int = MAX_LABELLED, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
-    """(log ratios of the buckets, least drawn weight of a document that stays)."""
-    ids, target = sample_labels(labels, limit)
-    if not len(target):
+def fit(docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = TEMPERATURE, seed: int = SEED, limit: int = MAX_LABELLED, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
+    """(log ratios of the buckets, least drawn weight of a document that stays). ``share`` of all rows stay, to the nearest row."""
+    if share is not None and not 0 <= share <= 1:
+        raise ValueError("share lies between 0 and 1")
+    sample = sample_labels(labels, limit)
+    if not len(sample.fitted):
         return np.zeros(buckets), -np.inf
-    ratios = log_ratios(docs, target, buckets)
+    ratios = log_ratios(docs, sample.fitted, buckets)
     scores = materialize(score_documents(_texts(docs), ratios).select("doc_id", "_weight"))
-    if k is None:
-        k = scores.where(F.col("_weight") >= F.lit(_threshold(scores, ids))).count()
+    n = scores.count()
+    k = round((sample.share if share is None else share) * n)
     if k <= 0:
         return ratios, np.inf
-    if k >= scores.count():
+    if k >= n:
         return ratios, -np.inf
     return ratios, kth_largest(scores.select(_drawn(temperature, seed).alias("v")), k)
 

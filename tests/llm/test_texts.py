@@ -317,7 +317,7 @@ def test_resampling_on_held_out_documents(spark):
     kept = {r.doc_id for r in importance.select_documents(docs, labels).collect()}
     held = [i for i in range(0, 200, 2)]
     assert sum((i in kept) == (i < 150) for i in held) / len(held) > 0.95
-    assert importance.select_documents(docs, labels, k=40).count() == 40
+    assert importance.select_documents(docs, labels, share=0.2).count() == 40
     assert importance.select_documents(docs, labels.where("false")).count() == 200
     assert importance.select_documents(docs.where("false"), labels).count() == 0
     awkward = table(spark, AWKWARD)
@@ -335,18 +335,48 @@ def test_selection_is_gumbel_top_k(spark):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
     grams, rows = importance.ngram_buckets(pa.array(texts, pa.string()))
     mine = [grams[rows == i].tolist() for i in range(len(texts))]
-    _, fitted = importance.sample_labels(labels)
+    fitted = importance.sample_labels(labels).fitted
     raw, target = Counter(g for m in mine for g in m), Counter(g for i in fitted for g in mine[i])
     size = importance.BUCKETS
     ratio = lambda g: math.log((target[g] + 1) / (target.total() + size)) - math.log((raw[g] + 1) / (raw.total() + size))
-    weights = [sum(map(ratio, m)) / (len(m) + importance.PRIOR_NGRAMS) * importance.REFERENCE_NGRAMS for m in mine]
+    weights = [sum(map(ratio, m)) for m in mine]
     draws = {r.doc_id: r.g for r in docs.select("doc_id", importance.gumbel(F.col("doc_id")).alias("g")).collect()}
     order = sorted(range(len(texts)), key=lambda i: -(weights[i] + draws[i]))
-    got = importance.select_documents(docs, labels, k=25, temperature=1.0).collect()
+    got = importance.select_documents(docs, labels, share=25 / len(texts)).collect()
     assert {r.doc_id for r in got} == set(order[:25])
     assert all(abs(r.log_weight - weights[r.doc_id]) < 1e-9 and r.n_ngrams == len(mine[r.doc_id]) for r in got)
 
 
+def test_the_share_follows_the_labels_and_the_seed_the_sample(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, rng.randint(1, 12)) + rng.choice(["", " ##"]) for _ in range(300)] + ["word " * 30_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    first, again, other = ({r.doc_id for r in importance.select_documents(docs, labels, seed=s).collect()} for s in (1, 1, 2))
+    assert first == again != other and len(first) == len(other) == round(len(texts) * 2 / 3)
+    with pytest.raises(ValueError):
+        importance.fit(docs, labels, share=1.5)
+    ratios, cut = importance.fit(docs, labels)
+    scores = importance.score_documents(importance._texts(docs), ratios)
+    lost, kept = importance.held_out_error(scores, importance.sample_labels(labels), cut)
+    assert 0 <= lost <= 1 and 0 <= kept <= 1
+
+
+def test_inclusion_frequencies_over_seeds(spark):
+    """Draws of 400 seeds against sampling without replacement, one by one in proportion to the weights."""
+    weights, k, seeds = np.log(np.array([8.0, 4, 4, 2, 1, 1, 0.5, 0.25])), 3, 400
+    frame = spark.range(len(weights)).withColumn("w", F.element_at(F.lit(weights.tolist()), (F.col("id") + 1).cast("int")))
+    drawn = frame.join(spark.range(seeds).withColumnRenamed("id", "seed")).withColumn("v", F.col("w") + importance.TEMPERATURE * importance.gumbel(F.col("id"), F.col("seed")))
+    top = drawn.groupBy("seed").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("v"), "id"))), 1, k).alias("t")).select(F.explode("t.id").alias("id")).groupBy("id").count()
+    got = np.zeros(len(weights))
+    for r in top.collect():
+        got[r.id] = r["count"] / seeds
+    rng, want = np.random.default_rng(5), np.zeros(len(weights))
+    for _ in range(20_000):
+        want[rng.choice(len(weights), k, replace=False, p=np.exp(weights) / np.exp(weights).sum())] += 1 / 20_000
+    assert abs(got - want).max() < 0.09 and got.sum() == pytest.approx(k)
+
+
 def test_kth_largest(spark):
     rng = random.Random(1)
     values = [round(rng.gauss(0, 1), 3) for _ in range(3000)] + [0.5] * 500
