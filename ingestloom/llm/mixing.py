@@ -144,7 +144,9 @@ def _flight(df: DataFrame, seed: int, last: bool) -> DataFrame:
             p = land(p, rows["size"].to_numpy(float))
         return rows.assign(p=p)
 
-    return df.groupBy("source_rank", "block").applyInPandas(run, df.schema)
+    # dealt by number: small rows would all be joined to one task, though a flight takes long
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "source_rank", "block").groupBy("source_rank", "block").applyInPandas(run, df.schema)
 
 
 def mix_copies(sizes: DataFrame, seed: int = 7, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -158,7 +160,7 @@ def mix_copies(sizes: DataFrame, seed: int = 7, weights: tuple[float, ...] = (5.
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = joined.withColumn("whole", F.floor(rate + EPSILON).cast("long")).withColumn("p", F.greatest(F.lit(0.0), rate - F.floor(rate + EPSILON)))
     n_blocks = F.ceil(F.col("n_docs") / F.lit(block_docs))
-    rated = rated.withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), n_blocks)).withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0))
+    rated = rated.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "key"), n_blocks)).withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0))
     fixed = rated.select("doc_id", "size", "source_size", "target", "source_rank", "block", "whole", "p", "key")
     blocks_left = -(-int(most or 0) // block_docs)
     done, turn = [], 0
