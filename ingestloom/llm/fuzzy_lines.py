@@ -274,7 +274,7 @@ def _dealt(table: DataFrame, maps: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = materialize(table.join(main.hint("shuffle_hash"), "key").join(maps.hint("shuffle_hash"), "id").withColumn("outside", F.col("component") != F.col("main")).drop("main"))
     # without nulls the condition is short enough to be compiled
     values = [c for c in dealt.columns if c not in ("key", "blocks", "outside")]
-    dealt = dealt.select("key", "blocks", F.coalesce("outside", F.lit(False)).alias("outside"), *[F.coalesce(c, F.lit(0)).alias(c) for c in values])
+    dealt = dealt.select("key", "blocks", F.coalesce("outside", F.lit(False)).alias("outside"), *[F.col(c) if c == "keys" else F.coalesce(c, F.lit(0)).alias(c) for c in values])
     every = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
     outside = dealt.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", *[F.col(c).alias(f"_{c}") for c in values])
     return _spread(every, "key", "block"), _spread(outside, "key", "block")
@@ -294,17 +294,20 @@ def _pairs(table: DataFrame, texts: DataFrame) -> DataFrame:
 
     One line of such a pair, a, is outside the largest component of the key. A bit
     of one set's bitmap that the other's lacks stands for at least one shingle that
-    the other lacks, and similar sets lack few of each other's.
+    the other lacks, and similar sets lack few of each other's. Lines that share
+    several keys meet in the least of them only: they are in different components,
+    so one of them is outside the largest in every key that they share.
     """
-    maps = materialize(_bitmaps(materialize(shingle_sets(texts))))
+    keys = table.groupBy("id").agg(F.collect_set("key").alias("keys"))  # BANDS keys a signature at most
+    maps = materialize(_bitmaps(materialize(shingle_sets(texts))).join(keys.hint("shuffle_hash"), "id"))
     common = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"w{k}").bitwiseAND(F.col(f"_w{k}"))) for k in range(WORDS)])
     least = F.lit(MIN_SIMILARITY / (1 + MIN_SIMILARITY)) * (F.col("n") + F.col("_n")) - 1e-9
     fits = (F.col("component") != F.col("_component")) & (~F.col("outside") | (F.col("_id") < F.col("id")))
     fits = fits & (F.least("n", "_n") >= F.lit(MIN_SIMILARITY) * F.greatest("n", "_n") - 1e-9)
     fits = fits & (common >= F.greatest(F.col("bits") - F.col("n"), F.col("_bits") - F.col("_n")) + least)
     every, outside = _dealt(table, maps)
-    met = every.join(outside.hint("merge"), ["key", "block"]).where(fits)
-    return met.select(F.col("_id").alias("a"), F.col("id").alias("b"), (-common / (F.col("bits") + F.col("_bits"))).alias("apart")).distinct()
+    met = every.join(outside.hint("merge"), ["key", "block"]).where(fits).where(F.array_min(F.array_intersect("keys", "_keys")) == F.col("key"))
+    return met.select(F.col("_id").alias("a"), F.col("id").alias("b"), (-common / (F.col("bits") + F.col("_bits"))).alias("apart"))
 
 
 def _same_place(lines: DataFrame) -> Column:
