@@ -3,9 +3,9 @@
 The vocabulary is a rank file (``base64(token bytes) rank`` a line); its place
 is a parameter. A ``tokenizers`` BPE model is built from it over the usual
 byte-to-character table, so every byte string is a string of vocabulary
-characters. With the public split pattern Arrow batches are split at single
-spaces between non-spaces, where it always begins a new match, so every chunk
-encodes by itself (with another pattern a text is one chunk); each chunk is encoded once a worker and its ids are kept in a bounded table.
+characters. With the public split pattern texts are cut into chunks that encode
+by themselves, and each different chunk of a batch is encoded once (``chunked``);
+with another pattern a text is one chunk.
 
 Defined results: null and empty text give no ids. Text that looks like a
 special token is ordinary text. Repeated rows are encoded like any other; extra
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,15 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ingestloom.llm.bytesview import blocks
+from ingestloom.llm.bytesview import blocks, byte_view
+from ingestloom.llm.chunked import ChunkEncoder
 
-#: Chunks whose ids a worker keeps; the table is emptied when full.
-KEPT_CHUNKS = 800_000
-#: Longest chunk that is kept.
-KEPT_LENGTH = 48
-
-_BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
-_DOUBLE = re.compile(r"\s\s")
+#: Text encoded at once.
+SLICE_BYTES = 4 << 20
 
 
 def byte_characters() -> list[str]:
@@ -53,29 +48,6 @@ def _merges(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return [(left, right) for *_, left, right in sorted(pairs)]
 
 
-class _Kept(dict):
-    """Ids of chunks, encoded when first asked for."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.encode = tokenizer.encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > KEPT_LENGTH:
-            return self.fresh(chunk)
-        if len(chunk) > 2 and chunk[-1] in ".,;:!?" and chunk[-2].isalpha():  # one mark after a letter is a match by itself
-            ids = self[chunk[:-1]] + self[chunk[-1]]
-        else:
-            ids = self.fresh(chunk)
-        if len(self) >= KEPT_CHUNKS:
-            self.clear()
-        self[chunk] = ids
-        return ids
-
-    def fresh(self, chunk: str) -> bytes:
-        return np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-
 class ByteBPE:
     """Encoder and decoder for one rank file and split pattern."""
 
@@ -93,24 +65,16 @@ class ByteBPE:
         self.token_bytes: list[bytes] = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for spelled, rank in model_vocabulary(self.tokenizer).items():
             self.token_bytes[rank] = bytes(back[c] for c in spelled)
-        self.kept = _Kept(self.tokenizer)
-        self.splits = pattern == _known_pattern()
-
-    def chunks(self, text: str) -> list[str]:
-        """Pieces whose encodings, joined, are the text's encoding."""
-        if not text:
-            return []
-        if not self.splits:
-            return [text]
-        if _DOUBLE.search(text) or text[0].isspace() or text[-1].isspace():
-            return _BOUNDARY.split(text)
-        chunks = text.replace("\n", " \n ").split(" ")  # a line feed between non-spaces is a match by itself
-        return [chunks[0], *[piece if piece == "\n" or before == "\n" else " " + piece for before, piece in zip(chunks, chunks[1:], strict=False)]]
+        self.chunks = ChunkEncoder(self.tokenizer) if pattern == _known_pattern() else None
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        ids = self.kept.__getitem__
-        return [b"".join(map(ids, self.chunks(text))) if text else b"" for text in texts]
+        if self.chunks is None:
+            found = self.tokenizer.encode_batch([text or "" for text in texts], add_special_tokens=False)
+            return [np.array(one.ids, "<u4").tobytes() for one in found]
+        ids, counts = self.chunks.encode(*byte_view(pa.array(texts, pa.string())))
+        raw, ends = memoryview(ids.astype("<u4").tobytes()), (4 * np.cumsum(counts)).tolist()
+        return [bytes(raw[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def decode_bytes(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for, also where an id ends inside a character."""
@@ -159,7 +123,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, limit=SLICE_BYTES):
                 encoded = bpe.encode(part.column("text").to_pylist())
                 columns = {"id": part.column("id"), "ids": pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in encoded], pa.list_(pa.int32()))}
                 if with_offsets:
@@ -190,7 +154,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, limit=SLICE_BYTES):
                 encoded = bpe.encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_pydict(
                     {

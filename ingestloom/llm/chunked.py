@@ -72,13 +72,10 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class ChunkEncoder:
-    """Encodes batches with a ``tokenizers`` file; special tokens' strings are ordinary text."""
+    """Encodes batches with a byte-level tokenizer of the usual split pattern; special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values(), default=-1) + 1
@@ -160,5 +157,8 @@ class ChunkEncoder:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> ChunkEncoder:
-    """One encoder a worker process."""
-    return ChunkEncoder(path)
+    """One encoder a worker process, for a ``tokenizers`` file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
+    from tokenizers import Tokenizer
+
+    return ChunkEncoder(Tokenizer.from_file(path))
