@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ingestloom.functions.datetimes import free_datetime, iso_datetime
 from ingestloom.functions.nulls import null_if_sentinel, strip
 from ingestloom.model import SPARK_TYPES, ColumnModel
 
@@ -30,17 +31,6 @@ DATE_LAYOUTS = (
     (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
 )
-# Further layouts of a date-time, all but the compact ones with its ISO date in the text.
-DATETIME_LAYOUTS = (
-    (r"^\d{8}T\d{6}$", "yyyyMMdd'T'HHmmss"),
-    (r"^\d{8}T\d{4}$", "yyyyMMdd'T'HHmm"),
-    (r"^\d{4}-\d{2}-\d{2} \d{1,2}:\d{2} [AaPp][Mm]$", "yyyy-MM-dd h:mm a"),
-    (r"^\d{4}-\d{2}-\d{2} \d{1,2}:\d{2}:\d{2} [AaPp][Mm]$", "yyyy-MM-dd h:mm:ss a"),
-    (r"^\d{4}-\d{2}-\d{2} \d{1,2}:\d{2}(:\d{2})?$", "yyyy-MM-dd H:mm[:ss]"),
-    (r"^\d{1,2}:\d{2}(:\d{2})?,? \d{4}-\d{2}-\d{2}$", "H:mm[:ss][,] yyyy-MM-dd"),
-    (r"^\d{4}-\d{2}-\d{2},? at \d{1,2}:\d{2}(:\d{2})?$", "yyyy-MM-dd[,] 'at' H:mm[:ss]"),
-)
-_ISO_DATETIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 
 
 def canonical_number(text: Column) -> Column:
@@ -74,12 +64,8 @@ def to_date(text: Column) -> Column:
 
 
 def to_datetime(text: Column) -> Column:
-    """ISO date-times, else dates at midnight, else a few common layouts; zones are dropped."""
-    iso = F.when(text.rlike(_ISO_DATETIME), F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz"))
-    iso_date = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("timestamp_ntz"))
-    other = [F.when(text.rlike(shape), F.try_to_timestamp(F.upper(text) if layout.endswith("a") else text, F.lit(layout)).cast("timestamp_ntz")) for shape, layout in DATETIME_LAYOUTS]
-    zoned = F.when(text.rlike(r"[+-]\d{2}:?\d{2}$") & ~text.contains("T") & ~text.contains(":"), F.lit(None)).otherwise(iso)
-    return F.coalesce(iso_date, zoned, to_date(text).cast("timestamp_ntz"), *other)
+    """ISO date-times, else dates at midnight, else an ISO date beside a time in free spelling; zones are dropped."""
+    return F.coalesce(iso_datetime(text), to_date(text).cast("timestamp_ntz"), free_datetime(text))
 
 
 def to_text(text: Column, length: int | None = None, canonical: bool = True) -> Column:
