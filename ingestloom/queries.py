@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import enum
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from ingestloom.plans.store import VersionedStore
 from ingestloom.plans.views import MaterializedView, ViewStore
 from ingestloom.registry import observed, validators
 from ingestloom.registry.specs import FieldSpec, ModelCatalog
+from ingestloom.sources.custom import FixedWidthSource, SourceLoader
 from ingestloom.sources.readers import ROWNUM, LoadOptions, ParquetLoader
 from ingestloom.streaming.landing import watch
 
@@ -183,6 +185,43 @@ def load_csv_late_latin1(spark, sf_dir):
     return staging_rows(spark, LoadOptions(model, folder))
 
 
+_CUSTOMER_WIDTHS = (("c_custkey", 12), ("c_name", 28), ("c_nationkey", 6), ("c_mktsegment", 14))
+
+
+def _fixed_width(spark, sf_dir, folder: str, *names: str) -> SourceLoader:
+    """Customers as records of one length, dealt over folders by key; the loader that reads them."""
+    line = F.concat(*[F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("")), width, " ") for c, width in _CUSTOMER_WIDTHS])
+    rows = _t(spark, sf_dir, "customer")
+    for k, name in enumerate(names):
+        rows.where(F.col("c_custkey") % len(names) == k).select(line).write.text(f"{folder}/{name}")
+    ends = list(accumulate(width for _, width in _CUSTOMER_WIDTHS))
+    layout = ",".join(f"{c}:{end - width}:{end}" for (c, width), end in zip(_CUSTOMER_WIDTHS, ends, strict=True))
+    return SourceLoader(FixedWidthSource, layout=layout, recordBytes=ends[-1] + 1, pieceBytes=1 << 22)
+
+
+@query("select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, left(c_mktsegment, 8) as c_mktsegment from customer")
+def load_custom_source(spark, sf_dir):
+    """A loader of one's own, planned by Spark as a data source, in a load."""
+    root = scratch_folder(spark)
+    loader = _fixed_width(spark, sf_dir, f"{root}/in/customer.dat", "a", "b")
+    store = VersionedStore(spark, f"{root}/tables")
+    load_file(spark, store, CUSTOMER, f"{root}/in/customer.dat", loader=loader, dedupe=True)
+    return store.read(CUSTOMER).select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+
+
+@query("select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, left(c_mktsegment, 8) as c_mktsegment from customer")
+def stream_custom_source(spark, sf_dir):
+    """The same source as a stream: files of two arrivals, appended as they come; a checkpoint holds how far it is."""
+    root = scratch_folder(spark)
+    loader = _fixed_width(spark, sf_dir, f"{root}/halves", "a", "b")
+    for arrived in ("a", "b"):
+        spark.read.text(f"{root}/halves/{arrived}").write.text(f"{root}/in/{arrived}")
+        rows = loader.stream(spark, f"{root}/in")
+        writer = rows.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+        writer.format("parquet").option("path", f"{root}/rows").start().awaitTermination()
+    return quality.cast_rows(spark.read.parquet(f"{root}/rows"), CUSTOMER, track=False).drop(ROWNUM)
+
+
 @query("select p_partkey, p_name, p_brand, cast(p_size as bigint) as p_size from part")
 def load_parquet_part(spark, sf_dir):
     return staging_rows(spark, LoadOptions(PART, f"{sf_dir}/part.parquet"))
@@ -758,6 +797,30 @@ def cast_datetime_layouts(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.expr(_STAMPS).alias("s")).select("event_id", value.alias("v"))
 
 
+# (Spark's layout of a moment, the part of it that the spelling keeps)
+_SPELLINGS = (
+    ("yyyy-MM-dd'T'HH:mm:ss", "second"), ("yyyy-MM-dd HH:mm", "minute"), ("yyyy-MM-dd HH", "hour"), ("yyyyMMdd", "day"), ("yyyyMMdd'T'HHmmss", "second"),
+    ("yyyyMMdd HHmm", "minute"), ("yyyy-MM-dd'T'HHmm", "minute"), ("yyyy-MM-dd'x'HH:mm:ss", "second"), ("yyyy-MM-dd'T'HH:mm:ss'Z'", "second"), ("yyyy-MM-dd'T'HH:mm'+03:00'", "minute"),
+    ("dd/MM/yyyy", "day"), ("d-MMM-yyyy", "day"), ("yyyy-MM-dd h:mm a", "minute"), ("yyyy-MM-dd h:mm:ss a", "second"), ("yyyy-MM-dd h a", "hour"),
+    ("yyyy-MM-dd, 'at' H:mm", "minute"), ("yyyy-MM-dd 'at' HH:mm:ss", "second"), ("H:mm yyyy-MM-dd", "minute"), ("HH:mm:ss, yyyy-MM-dd", "second"), ("h:mm a 'on' yyyy-MM-dd", "minute"),
+    ("EEEE, yyyy-MM-dd", "day"), ("EEE yyyy-MM-dd H:mm", "minute"), ("yyyy-MM-dd EEEE H:mm 'EST'", "minute"), ("yyyy-MM-dd H:mm 'UTC'", "minute"), ("yyyy-MM-dd H:mm '-0300'", "minute"),
+    ("yyyy-MM-dd HH'h'mm'm'ss's'", "second"), ("yyyy-MM-dd H'h'mm", "minute"), ("yyyy-MM-dd H 'hours' m 'minutes'", "minute"), ("yyyy/MM/dd HH:mm", None), ("yyyy-MM-dd 'at noon'", None),
+    ("MMM d yyyy HH:mm", None), ("yyyy-MM-dd HH:mm 'o''clock'", None), ("yyyy-MM-dd yyyy-MM-dd", None), ("HH:mm", None),
+)
+
+
+@query(
+    f"select event_id, case event_id % {len(_SPELLINGS)} "
+    + " ".join(f"when {k} then cast(date_trunc('{part}', ts) as timestamp)" for k, (_, part) in enumerate(_SPELLINGS) if part)
+    + " end as v from events"
+)
+def cast_datetime_spellings(spark, sf_dir):
+    """Moments in 34 spellings, of which the last six are none that can be read."""
+    value, _ = casting.cast_column(F.col("s"), ColumnModel("s", "datetime"))
+    layouts = [F.when(F.col("event_id") % len(_SPELLINGS) == k, F.date_format("ts", layout)) for k, (layout, _) in enumerate(_SPELLINGS)]
+    return _t(spark, sf_dir, "events").select("event_id", F.coalesce(*layouts).alias("s")).select("event_id", value.alias("v"))
+
+
 @query(
     _WITH_MESSY
     + f""", f as (select o_orderkey, s from m where {_NOT_NULL} and not (regexp_matches(trim(s), '^[+-]?\\d+(\\.0+)?$')))
