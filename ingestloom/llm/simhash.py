@@ -14,14 +14,18 @@ it holds and what looks there differ by one bit at most in this segment, so they
 must come within two bits in the other, and balls of radius one around both meet
 in a member. A part then holds at most 33 fingerprints and meets at most 1 089.
 
-``drop_near_duplicates`` takes ``DOCUMENT_WORDS`` words a shingle and fingerprints
-of ``WIDE_SEGMENTS`` segments of ``WIDE_BITS`` bits. Matches are compared by complete
-distance and then by the Jaccard similarity of their whole sets of shingles. Of
-two texts at similarity 0.95, 0.9, 0.85, 0.8 a segment's balls meet with a chance
-of 0.48, 0.27, 0.17, 0.10, so 0.99, 0.92, 0.77, 0.58 of such pairs are compared;
-groups are found through any of their pairs. What looks into an entry is first
-compared with one of its members; only where the entry then still holds several
-components are its other members compared, and none are left out.
+``drop_near_duplicates`` takes ``DOCUMENT_WORDS`` words a shingle and wide
+fingerprints, whose ``shape`` follows from the number of texts. Balls of radius one
+round the segments of both texts meet where a segment differs in two bits at most,
+which at similarity 0.8 happens in one of the segments with a chance of ``LEAST_MET``
+or more, at every size of the corpus; segments are so long that a text meets few
+others by chance. Matches are compared by complete distance, whose bound lies six
+deviations above the mean at the least similarity, and then by the Jaccard similarity
+of their whole sets of shingles. Texts of under ten words or so have votes too few
+for these chances: four shingles of five are met with 0.69. Groups are found through
+any of their pairs. What is in an entry is first compared with its least member; only
+where the entry then still holds several components are its other members compared,
+by distance within the join, and none are left out.
 
 Defined results: null text and text without words have fingerprint zero, which
 ``near_duplicates`` links like any other and ``drop_near_duplicates`` leaves
@@ -35,7 +39,9 @@ empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -58,9 +64,39 @@ BUCKET = 64
 #: Words of a shingle, similarity, and wide fingerprints of the de-duplication of whole documents.
 DOCUMENT_WORDS = 5
 MIN_SIMILARITY = 0.8
-WIDE_SEGMENTS, WIDE_BITS = 8, 24
-#: Bits of a wide fingerprint that may differ before shingles are compared: two deviations above those of the least similarity.
-WIDE_DISTANCE = 40
+#: Chance at the least similarity that two texts are compared, and bits that a segment may have.
+LEAST_MET, BITS = 0.92, range(24, 49)
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Segments of a wide fingerprint, bits of each, and bits in all that may differ before shingles are compared."""
+
+    segments: int
+    bits: int
+    distance: int
+
+
+def shape(texts: int, least: float = MIN_SIMILARITY) -> Shape:
+    """The shape of least work among those that bring similar texts together with a chance of ``LEAST_MET``.
+
+    Two sets of similarity J have a cosine of 2J / (1 + J) if they are of one size, and more
+    otherwise; a bit differs with the angle's share of a half turn. Work counts the rows that a
+    text has in the tables, and four for each of the ``texts`` that it meets by chance.
+    """
+    flip = math.acos(min(1.0, 2 * least / (1 + least))) / math.pi
+
+    def needed(bits: int) -> int:
+        met = sum(math.comb(bits, k) * flip**k * (1 - flip) ** (bits - k) for k in range(3))
+        return math.ceil(math.log(1 - LEAST_MET) / math.log1p(-met)) if met < 1 else 1
+
+    def work(bits: int) -> float:
+        return needed(bits) * (1 + bits + 4 * texts * (1 + bits + math.comb(bits, 2)) / (1 << bits))
+
+    bits = min(BITS, key=work)
+    segments = needed(bits)
+    total = segments * bits
+    return Shape(segments, bits, min(total, math.ceil(total * flip + 6 * math.sqrt(total * flip * (1 - flip)))))
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -172,23 +208,23 @@ def shingle_hashes(column: pa.Array, words: int = DOCUMENT_WORDS) -> list[np.nda
     return out
 
 
-def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+def wide_fingerprint(hashes: np.ndarray, form: Shape) -> list[int]:
     """Segments of the wide fingerprint of a set of shingle hashes."""
-    total = WIDE_SEGMENTS * WIDE_BITS
+    total = form.segments * form.bits
     votes = np.zeros(total, np.int64)
     for at in range(0, len(hashes), 1 << 12):
         part = hashes[at : at + (1 << 12)]
         wide = np.stack([mix(part + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) for k in range(-(-total // 64))], axis=1)
         votes += np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little")[:, :total].sum(axis=0, dtype=np.int64)
-    bits = (2 * votes > len(hashes)).reshape(WIDE_SEGMENTS, WIDE_BITS)
-    return (bits @ (1 << np.arange(WIDE_BITS))).tolist()
+    bits = (2 * votes > len(hashes)).reshape(form.segments, form.bits)
+    return (bits @ (1 << np.arange(form.bits))).tolist()
 
 
 def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("string")).alias("node"), F.col("text").cast("string").alias("text"))
 
 
-def _wide_prints(docs: DataFrame) -> DataFrame:
+def _wide_prints(docs: DataFrame, form: Shape) -> DataFrame:
     """doc_id, node (digest of the text) and segments of every document with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,9 +233,9 @@ def _wide_prints(docs: DataFrame) -> DataFrame:
                 sets = shingle_hashes(part.column("text"))
                 kept = [i for i, s in enumerate(sets) if len(s)]
                 taken = pa.array(kept, pa.int64())
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(taken), "node": part.column("node").take(taken), "segments": pa.array([wide_fingerprint(sets[i]) for i in kept], pa.list_(pa.int32()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").take(taken), "node": part.column("node").take(taken), "segments": pa.array([wide_fingerprint(sets[i], form) for i in kept], pa.list_(pa.int64()))})
 
-    return _identified(docs).mapInArrow(run, "doc_id long, node string, segments array<int>")
+    return _identified(docs).mapInArrow(run, "doc_id long, node string, segments array<long>")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -217,12 +253,21 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.groupBy("id").agg(F.first("s").alias("s"))  # rows that repeat doc_id and text
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of node ids within the distance whose shingles are similar."""
+def _apart(form: Shape, left: str, right: str) -> Column:
+    """Bits in which two wide fingerprints differ."""
+    return sum((F.bit_count(F.get(left, i).bitwiseXOR(F.get(right, i))) for i in range(form.segments)), F.lit(0))
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, form: Shape) -> DataFrame:
+    """The pairs (a, b) of node ids within the distance."""
     segments = nodes.select("id", "segments")
     left, right = (segments.toDF(side, f"_{side}") for side in ("a", "b"))
-    apart = sum((F.bit_count(F.get("_a", i).bitwiseXOR(F.get("_b", i))) for i in range(WIDE_SEGMENTS)), F.lit(0))
-    near = materialize(pairs.join(left, "a").join(right, "b").where(apart <= WIDE_DISTANCE).select("a", "b").distinct())
+    return pairs.join(left, "a").join(right, "b").where(_apart(form, "_a", "_b") <= form.distance).select("a", "b")
+
+
+def _similar(near: DataFrame, nodes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of node ids whose shingles are similar."""
+    near = materialize(near)
     ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = materialize(_shingle_sets(docs, nodes.join(ends, "id").select("id", "doc_id", "node")))
     left, right = (sets.toDF(side, f"_{side}") for side in ("a", "b"))
@@ -230,37 +275,37 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float)
     return materialize(near.join(left, "a").join(right, "b").where(common >= F.lit(least) * (sizes - common) - 1e-9).select("a", "b"))
 
 
-def document_links(docs: DataFrame, prints: DataFrame, least: float = MIN_SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def document_links(docs: DataFrame, prints: DataFrame, form: Shape, least: float = MIN_SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, doc_id, node, segments), one for each different text, and their links (a, b)."""
     firsts = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("segments").alias("segments"))
     nodes = materialize(firsts.select(F.monotonically_increasing_id().alias("id"), "doc_id", "node", "segments"))
-    keys = [F.get("segments", i).cast("long").bitwiseOR(F.lit(i << WIDE_BITS)) for i in range(WIDE_SEGMENTS)]
-    spread = nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    tables = spread.select("id", F.explode(F.array(*keys)).alias("key"))
-    balls = spread.select("id", F.explode(F.flatten(F.array(*[_ball(k, WIDE_BITS) for k in keys]))).alias("key"))
-    entries = materialize(tables.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")))
-    hits = materialize(balls.join(entries.hint("shuffle_hash"), "key").where("id <> first or n > 1").select("key", "id", "first", "n"))
-    ordered = [F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")]
-    found = _similar(hits.where("id <> first").withColumnRenamed("first", "other").select(*ordered).distinct(), nodes, docs, least)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.get("segments", i).bitwiseOR(F.lit(i << form.bits)) for i in range(form.segments)]
+    balls = nodes.repartition(tasks, "id").select("id", F.explode(F.flatten(F.array(*[_ball(k, form.bits) for k in keys]))).alias("key"))
+    # one shuffle serves both the entries and what is in them
+    balls = balls.repartition(tasks, "key")
+    entries = balls.groupBy("key").agg(F.min("id").alias("first"), F.count("id").alias("n")).where("n > 1")
+    hits = materialize(balls.join(entries.hint("shuffle_hash"), "key").select("key", "id", "first", "n"))
+    found = _similar(_near(hits.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), nodes, form), nodes, docs, least)
     # entries of several members: what is not one component yet is compared with the others as well
     linked = materialize(connected_components(found))
-    named = hits.where("n > 1").select("key", "id").join(linked, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    named = materialize(named)
+    others = hits.where("n > 2 and id <> first").select("key", "id")  # all have been compared with the first
+    named = materialize(others.join(linked, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component")))
     mixed = materialize(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / F.lit(256)).cast("int").alias("parts")).where("low <> high").select("key", "parts"))
     if mixed.isEmpty():
         return nodes, found
-    seekers = named.join(mixed.hint("shuffle_hash"), "key")
-    members = seekers.join(tables.hint("shuffle_hash"), ["key", "id"], "left_semi")
+    seekers = materialize(named.join(mixed.hint("shuffle_hash"), "key").join(nodes.select("id", "segments"), "id"))
+    members = seekers.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("other"), F.col("component").alias("theirs"), F.col("segments").alias("held"))
     seekers = seekers.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    members = members.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("other"), F.col("component").alias("theirs"))
-    pairs = seekers.join(members, ["key", "part"]).where("component <> theirs").select(*ordered).distinct()
-    return nodes, found.unionByName(_similar(pairs, nodes, docs, least))
+    pairs = seekers.join(members, ["key", "part"]).where("id > other and component <> theirs").where(_apart(form, "segments", "held") <= form.distance)
+    return nodes, found.unionByName(_similar(pairs.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), nodes, docs, least))
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
     """The columns of ``docs``; of each component of similar documents the one with the least doc_id stays."""
-    prints = materialize(_wide_prints(docs))
-    nodes, links = document_links(docs, prints, least)
+    form = shape(docs.count(), least)
+    prints = materialize(_wide_prints(docs, form))
+    nodes, links = document_links(docs, prints, form, least)
     linked = materialize(connected_components(links)).withColumnRenamed("node", "member")
     roots = materialize(nodes.join(linked, nodes["id"] == linked["member"], "left").select(F.col("node").alias("of"), F.coalesce("component", "id").alias("root")))
     rows = prints.groupBy("doc_id", "node").agg(F.count("*").alias("n"))

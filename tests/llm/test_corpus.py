@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -152,6 +153,51 @@ def test_similar_documents_against_all_pairs(spark):
     assert simhash.drop_near_duplicates(again).count() == 4 and simhash.drop_near_duplicates(again.where("false")).count() == 0
 
 
+def made_pairs(rng, n, least, most):
+    """Pairs of texts of their own words whose five-word shingles have a similarity in [least, most)."""
+    made = []
+    for at in range(n):
+        total = rng.randint(60, 250)
+        words = [f"w{at}x{k}" for k in range(total + 4)]
+        choices = [k for k in range(total) if least <= (total - k) / (total + k) < most]
+        k = rng.choice(choices)
+        made.append((" ".join(words), " ".join([*words[: len(words) - k], *(f"v{at}x{j}" for j in range(k))])))
+    return made
+
+
+def test_recall_of_similar_documents_by_band_of_similarity(spark):
+    rng = random.Random(8)
+    for least, most, recall in ((0.8, 0.85, 0.9), (0.85, 0.9, 0.95), (0.9, 0.95, 0.99), (0.7, 0.78, 0.0)):
+        pairs = made_pairs(rng, 400, least, most)
+        docs = table(spark, [t for p in pairs for t in p])
+        gone = docs.count() - simhash.drop_near_duplicates(docs).count()
+        assert gone >= recall * len(pairs), (least, gone)
+        if most < 0.8:
+            assert gone == 0  # similarity is exact
+
+
+def test_shapes_of_wide_fingerprints():
+    assert simhash.shape(0, 1.0) == simhash.Shape(1, 24, 0)
+    flip = math.acos(1.6 / 1.8) / math.pi
+    for texts in (0, 10**5, 10**7, 10**9):
+        form = simhash.shape(texts)
+        met = sum(math.comb(form.bits, k) * flip**k * (1 - flip) ** (form.bits - k) for k in range(3))
+        assert 1 - (1 - met) ** form.segments >= simhash.LEAST_MET
+        # a text meets few others by chance, and random fingerprints are beyond the distance
+        assert texts * form.segments * (1 + form.bits + math.comb(form.bits, 2)) / 2**form.bits < 600
+        total = form.segments * form.bits
+        assert form.distance < total / 2 - 4 * math.sqrt(total) / 2
+
+
+def test_an_entry_of_many_components_is_compared_whole(spark):
+    """Texts of one wide fingerprint stand in the same entries; only those that are similar are linked."""
+    docs = table(spark, [f"{k // 2} b c d e {k // 2}" if k % 2 else f"{k // 2} b c d e {k // 2} f" for k in range(12)])
+    form = simhash.Shape(2, 24, 48)
+    prints = simhash._wide_prints(docs, form).withColumn("segments", F.array(F.lit(3), F.lit(5)).cast("array<long>"))
+    _, links = simhash.document_links(docs, prints, form, 0.6)
+    assert links.count() == 6 and links.where("a <= b").count() == 0
+
+
 # --- exact search -----------------------------------------------------------------
 
 
