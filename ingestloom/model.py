@@ -52,19 +52,23 @@ class ColumnModel:
 
 @dataclass(frozen=True)
 class TableModel:
-    """A declared table. ``foreign_keys`` maps a column to (table, column)."""
+    """A declared table. ``foreign_keys`` maps a column to (table, column); ``indexes`` are column lists besides the key."""
 
     name: str
     columns: tuple[ColumnModel, ...]
     primary_key: tuple[str, ...] = ()
     foreign_keys: Mapping[str, tuple[str, str]] = field(default_factory=dict)
+    indexes: tuple[tuple[str, ...], ...] = ()
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "columns", tuple(self.columns))
         object.__setattr__(self, "primary_key", tuple(self.primary_key))
-        unknown = [c for c in (*self.primary_key, *self.foreign_keys) if c not in self.column_names]
+        object.__setattr__(self, "indexes", tuple(tuple(index) for index in self.indexes))
+        unknown = [c for c in (*self.primary_key, *self.foreign_keys, *(c for index in self.indexes for c in index)) if c not in self.column_names]
         if unknown:
             raise ValueError(f"{self.name}: keys name unknown columns {unknown}")
+        if not all(self.indexes):
+            raise ValueError(f"{self.name}: an index without columns")
 
     @property
     def column_names(self) -> list[str]:

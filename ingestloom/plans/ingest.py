@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ingestloom.model import TableModel
 from ingestloom.operators import merge, quality
+from ingestloom.plans.layout import manage_layout
 from ingestloom.plans.settings import resolve_index_strategy
 from ingestloom.plans.store import TableStore
 from ingestloom.sources.readers import ROWNUM, CsvLoader, Loader, LoadOptions, check_file_name, choose_loader, require_columns
@@ -92,7 +93,8 @@ def load_file(spark: SparkSession, store: TableStore, model: TableModel, path: s
         with result.phase("merge"):
             if opts.merge_strategy != "upsert" and model.primary_key:
                 merge.check_unique(staged, model.key())
-            store.merge_rows(model, staged, opts.merge_strategy, opts.merge_batch_size, opts.load)
+            with manage_layout(store, model, opts.index_strategy, opts.merge_batch_size):
+                store.merge_rows(model, staged, opts.merge_strategy, opts.merge_batch_size, opts.load)
     return result
 
 

@@ -27,10 +27,10 @@ class Capabilities:
 
 
 def resolve_index_strategy(strategy: str) -> str:
-    """Files have no indexes: every known strategy keeps things as they are."""
+    """The strategy that ``auto`` stands for, or the one named; others are an error."""
     if strategy not in INDEX_STRATEGIES:
         raise ValueError(f"unknown index strategy {strategy!r}; one of {INDEX_STRATEGIES}")
-    return "keep"
+    return "keep" if strategy == "auto" else strategy
 
 
 def configure(builder: SparkSession.Builder, **more: str) -> SparkSession.Builder:

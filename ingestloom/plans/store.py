@@ -7,8 +7,10 @@ table as it was. One writer at a time is assumed.
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from types import MappingProxyType
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +18,9 @@ from pyspark.sql import functions as F
 
 from ingestloom.model import IdAllocator, TableModel
 from ingestloom.operators import ids
+from ingestloom.plans import layout
 
-_POINTER = "_CURRENT"
+_POINTER, _LAYOUT = "_CURRENT", "_LAYOUT"
 
 
 class TableStore(Protocol):
@@ -91,10 +94,15 @@ class Files:
 
 
 class VersionedStore:
-    """Tables below a root folder, one folder of versions each."""
+    """Tables below a root folder, one folder of versions each.
 
-    def __init__(self, spark: SparkSession, root: str, keep_versions: int = 2):
+    ``options`` go to the Parquet writer. Tables named in ``plain`` are written
+    without the layout of their indexes.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keep_versions: int = 2, options: Mapping[str, str] | None = None):
         self.spark, self.root, self.keep = spark, root.rstrip("/"), max(1, keep_versions)
+        self.options, self.plain = dict(options or {}), set()
         self.files = Files(spark)
 
     def _pointer(self, name: str) -> str:
@@ -131,19 +139,44 @@ class VersionedStore:
         merge_whole(self, model, staged, strategy, batch_rows)
 
     def write(self, model: TableModel, df: DataFrame, max_records_per_file: int | None = None) -> None:
-        """The next version: the model's columns in order, absent ones null, computed ones evaluated."""
-        self.write_rows(model.name, with_computed(df, model), max_records_per_file)
+        """The next version: the model's columns in order, absent ones null, computed ones evaluated, clustered by the model's first index."""
+        rows = with_computed(df, model)
+        if model.name in self.plain or not model.indexes:
+            self.write_rows(model.name, rows, max_records_per_file)
+        else:
+            self._write_version(model.name, layout.clustered(rows, model), max_records_per_file, layout.writer_options(model), self._layout_text(model))
+
+    @staticmethod
+    def _layout_text(model: TableModel) -> str:
+        return json.dumps({"order": layout.layout_order(model), "filters": layout.filtered_columns(model)})
+
+    def is_laid_out(self, model: TableModel) -> bool:
+        """Whether the current version has the layout of the model's indexes, or there is none to have."""
+        path = self.current(model.name)
+        if path is None or not model.indexes:
+            return True
+        mark = f"{path}/{_LAYOUT}"
+        return self.files.exists(mark) and self.files.read_text(mark) == self._layout_text(model)
+
+    def rebuild(self, model: TableModel, max_records_per_file: int | None = None) -> None:
+        """The current rows as a further version with the layout of the model's indexes."""
+        self._write_version(model.name, layout.clustered(self.read(model), model), max_records_per_file, layout.writer_options(model), self._layout_text(model))
 
     def write_rows(self, name: str, df: DataFrame, max_records_per_file: int | None = None) -> None:
+        self._write_version(name, df, max_records_per_file)
+
+    def _write_version(self, name: str, df: DataFrame, max_records_per_file: int | None, options: Mapping[str, str] = MappingProxyType({}), mark: str | None = None) -> None:
         before = self.current(name)
         last = int(before.rsplit("v", 1)[1]) if before else 0
         version = f"v{last + 1:08d}"
         path = f"{self.root}/{name}/{version}"
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").options(**self.options, **options)
         if max_records_per_file:
             writer = writer.option("maxRecordsPerFile", max_records_per_file)
         try:
             writer.parquet(path)
+            if mark is not None:
+                self.files.replace_text(f"{path}/{_LAYOUT}", mark)
         except Exception:
             self.files.delete(path)
             raise

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import enum
+from dataclasses import replace
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +17,7 @@ from ingestloom.operators import ids, merge, quality, references
 from ingestloom.plans.buckets import BucketedStore
 from ingestloom.plans.catalog import resolve_store
 from ingestloom.plans.ingest import load_file, staging_rows
+from ingestloom.plans.layout import manage_layout
 from ingestloom.plans.settings import scratch_folder
 from ingestloom.plans.store import VersionedStore
 from ingestloom.plans.views import MaterializedView, ViewStore
@@ -505,6 +507,35 @@ def merge_resumed(spark, sf_dir):
     return store.read(ORDER)
 
 
+INDEXED = replace(ORDER, indexes=(("o_custkey",), ("o_orderstatus",)))
+
+
+def _looked_up(spark, sf_dir, strategy):
+    store = VersionedStore(spark, scratch_folder(spark))
+    target, staged = _sides(spark, sf_dir)
+    with manage_layout(store, INDEXED, strategy):
+        store.write(INDEXED, target)
+        store.merge_rows(INDEXED, staged.withColumn(ROWNUM, F.lit(0)), "replace")
+    if not store.is_laid_out(INDEXED):
+        raise RuntimeError("the table has no layout")
+    return store.read(INDEXED).where(F.col("o_custkey").between(100, 160) & (F.col("o_orderstatus") == "F"))
+
+
+_LOOKUP = f"(with t as ({_TARGET}), s as ({_STAGED}) select * from t where not exists (select 1 from s where s.o_orderkey = t.o_orderkey) union all select * from s) where o_custkey between 100 and 160 and o_orderstatus = 'F'"
+
+
+@query(_BIGINTS + _LOOKUP)
+def index_kept_lookup(spark, sf_dir):
+    """Merged rows by an indexed column; every version is laid out as it is written."""
+    return _looked_up(spark, sf_dir, "keep")
+
+
+@query(_BIGINTS + _LOOKUP)
+def index_rebuilt_lookup(spark, sf_dir):
+    """Merged rows by an indexed column; versions are written plainly, and the last one is laid out."""
+    return _looked_up(spark, sf_dir, "drop_rebuild")
+
+
 class _Stops:
     """Calls a function a number of times, then fails as a killed driver would."""
 
