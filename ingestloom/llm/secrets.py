@@ -201,15 +201,16 @@ def scan_secrets(docs: DataFrame, threshold: float = MIN_LOG10_GUESSES, vocabula
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, out).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
 
 
-def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", threshold: float = MIN_LOG10_GUESSES) -> DataFrame:
-    """The columns of ``docs`` with every span of ``text`` replaced by ``mark``; overlapping spans merge."""
+def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", threshold: float = MIN_LOG10_GUESSES, vocabulary: str | None = None) -> DataFrame:
+    """The columns of ``docs`` with every span of ``text`` that ``scan_secrets`` finds replaced by ``mark``; overlapping spans merge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary_words(vocabulary) if vocabulary else _COMMON
         for batch in batches:
             texts = []
             for t in batch.column("text"):
                 text, at, out = t.as_py(), 0, []
-                for start, _, end in find_secrets(text, threshold):
+                for start, _, end in find_secrets(text, threshold, words):
                     if end > at:
                         out += [text[at:start], mark] if start >= at else []
                         at = end

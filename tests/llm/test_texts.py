@@ -177,6 +177,18 @@ def test_secret_frames(spark):
     assert secrets.scan_secrets(docs.where("false")).count() == 0
 
 
+def test_redaction_takes_the_spans_of_the_scan(spark):
+    values = ["mountainwindow7", "kitchenharvest42", "qX9vLr72Tz", "abcabcabc1", "government2024history", "Zk3pW8nQ1"]
+    docs = table(spark, [f"credentials: password is {v} and more" for v in values])
+    ranks, judged = public_tokenizers.path("byte_bpe_50k.tiktoken"), []
+    for vocabulary in (None, ranks):
+        scanned = {r.doc_id: bool(r.spans) for r in secrets.scan_secrets(docs, vocabulary=vocabulary).collect()}
+        masked = {r.doc_id: "[SECRET]" in r.text for r in secrets.redact_secrets(docs, vocabulary=vocabulary).collect()}
+        assert masked == scanned
+        judged.append(scanned)
+    assert judged[0] != judged[1] and any(judged[1].values())
+
+
 # --- personal data ----------------------------------------------------------------
 
 
