@@ -22,7 +22,7 @@ or more, at every size of the corpus; segments are so long that a text meets few
 others by chance. Matches are compared by complete distance, whose bound lies six
 deviations above the mean at the least similarity, and then by the Jaccard similarity
 of their whole sets of shingles. Texts of under ten words or so have votes too few
-for these chances: four shingles of five are met with 0.69. Groups are found through
+for these chances: four shingles of five are met with about 0.7. Groups are found through
 any of their pairs. What is in an entry is first compared with its least member; only
 where the entry then still holds several components are its other members compared,
 by distance within the join, and none are left out.
