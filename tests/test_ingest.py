@@ -1,6 +1,7 @@
 import enum
 
 import pytest
+from pyspark.sql import functions as F
 
 from ingestloom.errors import IngestError
 from ingestloom.functions.casting import ColumnRules
@@ -124,6 +125,13 @@ def test_bootstrap_and_ids(spark, store):
     assert [r.id for r in got] == list(range(8, 58))
 
 
+def test_ids_of_many_rows(spark):
+    """Ranges that follow from a sample are the same where rows are counted and where they are numbered."""
+    new = spark.range(200_000).select(F.xxhash64("id").alias("at"), F.concat(F.lit("n"), "id").alias("name"))
+    got = ids.assign_ids(new, spark.createDataFrame([(7,)], "id long"), "id", ["at"]).toPandas().sort_values("at")
+    assert got.id.tolist() == list(range(8, 200_008))
+
+
 def test_landing_folder(spark, store, tmp_path):
     folder = tmp_path / "landing"
     folder.mkdir()
