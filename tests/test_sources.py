@@ -38,6 +38,15 @@ def test_quote_mode(text, mode):
     assert sniff.infer_quote_mode(text.encode(), "\t") == mode
 
 
+@pytest.mark.parametrize("rows", [9, 5_000, 20_000])
+def test_quote_mode_of_many_rows(rows):
+    """Rows of both readings are counted over the same lines, however many there are."""
+    unclosed = "a,b,c\n" + "".join(f'{i},"x,z\n' if i % 5 == 0 else f"{i},x,z\n" for i in range(rows))
+    assert sniff.infer_quote_mode(unclosed.encode(), ",") == "literal"
+    line_ends = "a,b,c\n" + "".join(f'{i},"x\ny, ""z""",w\n' for i in range(rows))
+    assert sniff.infer_quote_mode(line_ends.encode(), ",") == "csv"
+
+
 def test_explicit_modes_do_not_read():
     def never():
         raise AssertionError
