@@ -76,6 +76,12 @@ def untracked(cast: DataFrame) -> DataFrame:
     return cast.drop(*[c for c in cast.columns if c.startswith((_FAILED, _RAW))])
 
 
+def evaluated(df: DataFrame) -> DataFrame:
+    """``df`` with each column computed once a row; a filter would repeat the expressions of the columns that it reads."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(row.alias("_row")).select(F.inline_outer(F.array("_row")))
+
+
 def failure_examples(cast: DataFrame, n: int = EXAMPLES) -> DataFrame:
     """column_name, nth and example: the first ``n`` inputs of every column that failed, in file order.
 
@@ -122,19 +128,22 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str | Column] = (ROWNUM,), keep_null_keys: bool = True) -> DataFrame:
     """The first row of each key; rows with a null in the key are all kept, or count as equal keys.
 
-    Kept rows go round the window: they share no key, and a window would put
-    them all in one task.
+    Each of the kept rows is a window of its own: they share no key, one window
+    would put them all in one task, and a further branch would read ``df`` again.
     """
-    number = "_nth"
-    while number in map(str.lower, df.columns):
+    taken = {c.lower() for c in df.columns}
+    number, alone = "_nth", "_alone"
+    while number in taken:
         number += "_"
-    whole = df
+    while alone in taken:
+        alone += "_"
+    by = list(key)
     if keep_null_keys:
         incomplete = reduce(or_, [F.col(c).isNull() for c in key])
-        whole = df.where(~incomplete)
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    first = whole.withColumn(number, nth).where(F.col(number) == 1).drop(number)
-    return first.unionByName(df.where(incomplete)) if keep_null_keys else first
+        df = df.withColumn(alone, F.when(incomplete, F.monotonically_increasing_id()))
+        by.append(alone)
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return df.withColumn(number, nth).where(F.col(number) == 1).drop(number, alone)
 
 
 def sorted_by_key(df: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -56,7 +56,7 @@ def prepare(df: DataFrame, options: LoadOptions) -> tuple[DataFrame, DataFrame]:
     model = options.model
     require_columns(model, df.columns)
     cast = quality.cast_rows(df, model, options.rules, options.normalise)
-    rows = quality.drop_incomplete(quality.untracked(cast), model.required_columns())
+    rows = quality.drop_incomplete(quality.evaluated(quality.untracked(cast)), model.required_columns())
     if options.dedupe and model.primary_key:
         rows = quality.first_per_key(rows, model.key())
     return cast, rows

@@ -159,8 +159,10 @@ class CsvLoader:
         schema = T.StructType([T.StructField(f, T.StringType()) for f in fields] + [T.StructField(CORRUPT, T.StringType())] * self.drop_malformed)
         parse = {"sep": delimiter, "multiLine": "true", "mode": "PERMISSIVE", "quote": "" if mode == "literal" else '"', "escape": "\\" if mode == "literal" else '"'}
         parse |= {"columnNameOfCorruptRecord": CORRUPT} if self.drop_malformed else {}
-        parsed = records.select(ROWNUM, F.from_csv(_RECORD, schema.simpleString()[len("struct<") : -1].replace(":", " "), parse).alias("row"))
-        df = parsed.select(*[F.col("row")[f].alias(n) for f, n in zip(fields, names, strict=True)], *[F.col("row")[CORRUPT].alias(CORRUPT)] * self.drop_malformed, ROWNUM)
+        row = F.from_csv(_RECORD, schema.simpleString()[len("struct<") : -1].replace(":", " "), parse)
+        # as the row of a generator a record is parsed once: filters on its columns would repeat an expression wherever they mention it
+        parsed = records.select(ROWNUM, F.inline_outer(F.array(row)))
+        df = parsed.select(*[F.col(f).alias(n) for f, n in zip(fields, names, strict=True)], *[F.col(CORRUPT)] * self.drop_malformed, ROWNUM)
         if self.drop_malformed:
             self._seen = Observation()
             df = df.observe(self._seen, F.count_if(F.col(CORRUPT).isNotNull()).alias("malformed"))

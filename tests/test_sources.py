@@ -2,6 +2,7 @@ import pytest
 
 from ingestloom.errors import IngestError
 from ingestloom.model import ColumnModel, TableModel
+from ingestloom.plans.ingest import staging_rows
 from ingestloom.sources import sniff
 from ingestloom.sources.readers import CsvLoader, LoadOptions, ParquetLoader, check_file_name, normalise_header
 
@@ -113,3 +114,13 @@ def test_empty_file_and_names(spark, tmp_path):
         check_file_name(TABLE, "wrong.csv")
     with pytest.raises(ValueError):
         ParquetLoader().read(spark, LoadOptions(TABLE, "test_table.json"))
+
+
+def test_records_are_parsed_once(spark, tmp_path):
+    """Neither filters on parsed columns nor rows without a key read or parse a file again."""
+    path = tmp_path / "test_table.csv"
+    path.write_text("id,name\n1,a\n1,b\n,c\n,d\n2,\n")
+    rows = staging_rows(spark, LoadOptions(TABLE, str(path), dedupe=True))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv") == 1 and plan.count("Relation [") == 1
+    assert sorted(r.name for r in rows.collect()) == ["a", "c", "d"]
