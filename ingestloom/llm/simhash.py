@@ -64,8 +64,8 @@ BUCKET = 64
 #: Words of a shingle, similarity, and wide fingerprints of the de-duplication of whole documents.
 DOCUMENT_WORDS = 5
 MIN_SIMILARITY = 0.8
-#: Chance at the least similarity that two texts are compared, and bits that a segment may have.
-LEAST_MET, BITS = 0.92, range(24, 49)
+#: Chance at the least similarity that two texts are compared, others that a text may meet by chance, and bits that a segment may have.
+LEAST_MET, BY_CHANCE, BITS = 0.92, 4, range(24, 49)
 
 
 @dataclass(frozen=True)
@@ -78,11 +78,11 @@ class Shape:
 
 
 def shape(texts: int, least: float = MIN_SIMILARITY) -> Shape:
-    """The shape of least work among those that bring similar texts together with a chance of ``LEAST_MET``.
+    """The shape of fewest table rows among those that bring similar texts together with a chance of ``LEAST_MET``.
 
     Two sets of similarity J have a cosine of 2J / (1 + J) if they are of one size, and more
-    otherwise; a bit differs with the angle's share of a half turn. Work counts the rows that a
-    text has in the tables, and four for each of the ``texts`` that it meets by chance.
+    otherwise; a bit differs with the angle's share of a half turn. Of the ``texts`` a text meets
+    ``BY_CHANCE`` others at most by chance, a pair counted once, so that the pairs grow as the texts do.
     """
     flip = math.acos(min(1.0, 2 * least / (1 + least))) / math.pi
 
@@ -90,10 +90,10 @@ def shape(texts: int, least: float = MIN_SIMILARITY) -> Shape:
         met = sum(math.comb(bits, k) * flip**k * (1 - flip) ** (bits - k) for k in range(3))
         return math.ceil(math.log(1 - LEAST_MET) / math.log1p(-met)) if met < 1 else 1
 
-    def work(bits: int) -> float:
-        return needed(bits) * (1 + bits + 4 * texts * (1 + bits + math.comb(bits, 2)) / (1 << bits))
+    def by_chance(bits: int) -> float:
+        return needed(bits) * texts * (1 + bits + math.comb(bits, 2)) / (2 << bits)
 
-    bits = min(BITS, key=work)
+    bits = next((b for b in BITS if by_chance(b) <= BY_CHANCE), BITS[-1])
     segments = needed(bits)
     total = segments * bits
     return Shape(segments, bits, min(total, math.ceil(total * flip + 6 * math.sqrt(total * flip * (1 - flip)))))

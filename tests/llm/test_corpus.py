@@ -176,6 +176,14 @@ def test_recall_of_similar_documents_by_band_of_similarity(spark):
             assert gone == 0  # similarity is exact
 
 
+def test_chance_meetings_grow_as_texts_do():
+    """Pairs that meet by chance, by reckoning, at sizes between the smallest shape and the largest."""
+    for texts in (10**3, 39_000, 192_732, 10**6, 15 * 10**6, 10**8):
+        form = simhash.shape(texts)
+        pairs = form.segments * (1 + form.bits + math.comb(form.bits, 2)) * texts * texts / (2 << form.bits)
+        assert pairs <= simhash.BY_CHANCE * texts
+
+
 def test_shapes_of_wide_fingerprints():
     assert simhash.shape(0, 1.0) == simhash.Shape(1, 24, 0)
     flip = math.acos(1.6 / 1.8) / math.pi
