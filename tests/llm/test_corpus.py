@@ -526,3 +526,16 @@ def test_sampling_keeps_lines_that_repeat_themselves(spark):
     got = {r.doc_id: r.text for r in fuzzy_lines.drop_lines(table(spark, texts)).collect()}
     assert got == dict(enumerate(plain_lines(texts)))
     assert all(got[i].count("\n") == 0 for i in range(0, len(texts), 2))
+
+
+def test_shingles_are_of_code_points_and_need_no_regular_expression(spark):
+    # letters of one, two, three and four bytes; before, a shingle also began in the middle of a surrogate pair
+    lines = ["plain words in a plain line", "é à ü ö ß " * 4, "日本語の長い行です。同じ文字が続きます。", "a😀b🎉c𝒳d" * 5, "😀🎉" * 12]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    sets = fuzzy_lines.shingle_sets(rows)
+    assert [len(r.s) for r in sets.orderBy("id").collect()] == [len(shingles(x)) for x in lines]
+    hashed = spark.createDataFrame([(k, x) for k, line in enumerate(lines) for x in shingles(line)], "id long, x string")
+    # a shingle's hash is that of its characters in UTF-32
+    want = hashed.groupBy("id").agg(F.collect_set(F.xxhash64(F.encode("x", "UTF-32"))).alias("s"))
+    assert {r.id: set(r.s) for r in sets.collect()} == {r.id: set(r.s) for r in want.collect()}
+    assert "regexp" not in sets._jdf.queryExecution().toString()
